@@ -117,15 +117,15 @@ def quantile_columns(
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max of a column, as rows `(stat, value)`."""
     x = F.col(column).cast("double")
-    basic = df.agg(
-        F.array(
-            F.struct(F.lit("count").alias("stat"), F.count(x).cast("double").alias("value")),
-            F.struct(F.lit("mean"), F.avg(x)),
-            F.struct(F.lit("std"), F.stddev_samp(x)),
-            F.struct(F.lit("min"), F.min(x)),
-            F.struct(F.lit("max"), F.max(x)),
-        ).alias("_rows")
-    ).select(F.inline("_rows"))
+    stats = {
+        "count": F.count(x).cast("double"),
+        "mean": F.avg(x),
+        "std": F.stddev_samp(x),
+        "min": F.min(x),
+        "max": F.max(x),
+    }
+    cells = [F.struct(F.lit(n).alias("stat"), s.alias("value")) for n, s in stats.items()]
+    basic = df.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
     middle = exact_quantiles(df, column, [0.25, 0.5, 0.75]).select(
         F.format_string("%d%%", (F.col("prob") * 100).cast("int")).alias("stat"), "value"
     )
