@@ -22,15 +22,20 @@ def tokens_to_null(col: Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:
     return F.when(~col.isin(*tokens), col)
 
 
+def _not_nan(number: Column) -> Column:
+    return F.nanvl(number, F.lit(None).cast("double"))
+
+
 def to_double(col: Column) -> Column:
     """Number in a text, NULL when it is not one; never NaN, never an error.
 
     Spark's cast also reads Java literals such as `1d` and `1.5f`; these are
-    texts here, not numbers.
+    texts here, not numbers. (`inf` is a number that ends in a letter.)
     """
-    text = col.cast("string")
-    number = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    text = F.trim(col.cast("string"))
+    java_literal = F.substring(text, -1, 1).isin("d", "D", "f", "F")
+    infinite = F.lower(text).endswith("inf")
+    return _not_nan(F.when(~java_literal | infinite, text).try_cast("double"))
 
 
 def to_int(col: Column) -> Column:
@@ -43,8 +48,7 @@ def double_of(df: DataFrame, name: str) -> Column:
     col = F.col(name)
     if not isinstance(df.schema[name].dataType, NumericType):
         return to_double(col)
-    number = col.cast("double")
-    return F.when(~F.isnan(number), number)
+    return _not_nan(col.cast("double"))
 
 
 def int_of(df: DataFrame, name: str) -> Column:

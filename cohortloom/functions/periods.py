@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed-width month formats: position of month and year in the six digits.
-_FIXED_WIDTH = {"MMyyyy": (1, 3), "yyyyMM": (5, 1)}
+# Six-digit month formats: the shape of a valid text, and where month and year start in it.
+_SIX_DIGITS = {
+    "MMyyyy": ("^(0[1-9]|1[0-2])(?!0000)[0-9]{4}$", 1, 3),
+    "yyyyMM": ("^(?!0000)[0-9]{4}(0[1-9]|1[0-2])$", 5, 1),
+}
 
 
-def parse_period(col: Column, fmt: str = "MMyyyy") -> Column:
-    """First day of the period named by a text, NULL for anything malformed.
+def is_period(col: Column, fmt: str = "MMyyyy") -> Column:
+    """Whether a text names a period.
 
-    The two six-digit formats are read by position, which stays in generated
-    code and is cheap enough to appear in both a filter and a projection.
+    For the six-digit formats this looks at the text once, which matters in a
+    filter: Spark evaluates a filter and the projection after it separately.
     """
-    if fmt not in _FIXED_WIDTH:
+    if fmt in _SIX_DIGITS:
+        return F.coalesce(col.rlike(_SIX_DIGITS[fmt][0]), F.lit(False))
+    return parse_period(col, fmt).isNotNull()
+
+
+def parse_period(col: Column, fmt: str = "MMyyyy") -> Column:
+    """First day of the period named by a text, NULL for anything malformed."""
+    if fmt not in _SIX_DIGITS:
         return F.try_to_date(col, fmt).cast("timestamp_ntz")
-    month_at, year_at = _FIXED_WIDTH[fmt]
+    shape, month_at, year_at = _SIX_DIGITS[fmt]
     month = F.substring(col, month_at, 2).try_cast("int")
     year = F.substring(col, year_at, 4).try_cast("int")
-    well_formed = col.rlike("^[0-9]{6}$") & month.between(1, 12) & (year >= 1)
-    return F.when(well_formed, F.make_date(year, month, F.lit(1))).cast("timestamp_ntz")
+    return F.when(col.rlike(shape), F.make_date(year, month, F.lit(1))).cast("timestamp_ntz")
 
 
 def yyyymm(col: Column) -> Column:

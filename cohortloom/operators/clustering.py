@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,29 @@ def standardise(df: DataFrame, entity: str, columns: Sequence[str], ddof: int =
     return zscore_matrix(df, entity, columns, ddof=ddof, prefix="")
 
 
+def standard_vectors(df: DataFrame, entity: str, space: str | Sequence[str]) -> DataFrame:
+    """Key and `vector`: the standardised space (population sd).
+
+    A space is a list of columns, whose missing values count as the mean, or
+    the name of one array column, which is complete.
+    """
+    if not isinstance(space, str):
+        return assemble(standardise(df, entity, space), space).select(entity, "vector")
+    raw = df.select(entity, array_to_vector(F.col(space).cast("array<double>")).alias("_raw"))
+    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
+    model = scaler.fit(raw)  # divides by the sample sd
+    n = raw.count()
+    stretch = Vectors.dense([math.sqrt(n / (n - 1)) if n > 1 else 1.0] * model.mean.size)
+    to_population = ElementwiseProduct(
+        scalingVec=stretch, inputCol="_scaled", outputCol="vector"
+    )
+    return to_population.transform(model.transform(raw)).select(entity, "vector")
+
+
+def axis_names(space: str | Sequence[str], size: int) -> list[str]:
+    return [f"{space}_{i}" for i in range(size)] if isinstance(space, str) else list(space)
+
+
 def fit_kmeans(vectors: DataFrame, k: int, n_init: int = 1, seed: int = SEED) -> KMeansModel:
     """The best of `n_init` fits by within-cluster cost. `vectors` should be cached or stored."""
     best = None
@@ -59,19 +85,19 @@ class Segmentation:
 def kmeans_fit(
     df: DataFrame,
     entity: str,
-    columns: Sequence[str],
+    columns: str | Sequence[str],
     k: int,
     n_init: int = 50,
     seed: int = SEED,
 ) -> Segmentation:
     """Final segmentation of all entities in the standardised space of `columns`."""
     spark = df.sparkSession
-    z = standardise(df, entity, columns)
-    vectors = assemble(z, columns).select(entity, "vector").persist()
+    vectors = standard_vectors(df, entity, columns).persist()
     try:
         model = fit_kmeans(vectors, k, n_init, seed)
         sizes = model.summary.clusterSizes
-        rank = {old: new for new, old in enumerate(sorted(range(len(sizes)), key=lambda c: (-sizes[c], c)))}
+        by_size = sorted(range(len(sizes)), key=lambda c: (-sizes[c], c))
+        rank = {old: new for new, old in enumerate(by_size)}
         renumber = F.create_map(*[F.lit(v) for pair in rank.items() for v in pair])
         labels = label_with(model, vectors).select(
             entity, renumber[F.col("cluster")].cast("int").alias("cluster")
@@ -80,7 +106,7 @@ def kmeans_fit(
         centers = [
             (rank[i], name, float(value))
             for i, center in enumerate(model.clusterCenters())
-            for name, value in zip(columns, center)
+            for name, value in zip(axis_names(columns, len(center)), center)
         ]
         cost = float(model.summary.trainingCost)
     finally:
@@ -92,7 +118,7 @@ def kmeans_fit(
 def silhouette_sweep(
     df: DataFrame,
     entity: str,
-    columns: Sequence[str],
+    columns: str | Sequence[str],
     space: str = "space",
     ks: Iterable[int] = K_RANGE,
     fit_n: int | None = FIT_ROWS,
@@ -106,11 +132,10 @@ def silhouette_sweep(
     rows. All k are scored together, so distances are computed once.
     """
     spark = df.sparkSession
-    chosen = df.select(entity, *columns)
+    chosen = df.select(entity, *([columns] if isinstance(columns, str) else columns))
     if fit_n is not None:
         chosen = sample_rows(chosen, fit_n, [entity], seed)
-    vectors = assemble(standardise(chosen, entity, columns), columns)
-    vectors = vectors.select(entity, "vector").persist()
+    vectors = standard_vectors(chosen, entity, columns).persist()
     try:
         scored = vectors if sil_n is None else sample_rows(vectors, sil_n, [entity], seed + 1)
         costs = {}
@@ -172,7 +197,7 @@ def bisecting_sweep(
 ) -> DataFrame:
     """Divisive clustering of all rows: rows `(k, n_leaves, cost)` down the tree."""
     spark = df.sparkSession
-    vectors = assemble(standardise(df, entity, columns), columns).select("vector").persist()
+    vectors = standard_vectors(df, entity, columns).select("vector").persist()
     try:
         rows = []
         for k in ks:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.tidy import melt
+
 
 def numeric_summary(column: str) -> list[Column]:
     x = F.col(column)
@@ -18,17 +20,41 @@ def numeric_summary(column: str) -> list[Column]:
     ]
 
 
-def first_last(column: str, order: Column) -> list[Column]:
-    """First and last present value of a column in the given order.
+def code_spans(
+    panel: DataFrame, entity: str, period: str, coded: Sequence[str]
+) -> DataFrame:
+    """First and last period of every value of every coded column, per entity.
 
-    Rows where the value is NULL get a NULL order, which min_by and max_by skip.
+    All states are fixed-size, so this hashes rather than sorts the panel, and
+    an entity that holds a large share of the rows is combined before the
+    shuffle and spread over tasks by its values.
     """
-    x = F.col(column)
-    at = F.when(x.isNotNull(), order)
-    return [
-        F.min_by(x, at).alias(f"first_{column}"),
-        F.max_by(x, at).alias(f"last_{column}"),
-    ]
+    cells = melt(panel, coded, keep=[entity, period], key="_column", dtype="string")
+    return (
+        cells.where(F.col("value").isNotNull())
+        .groupBy(entity, "_column", "value")
+        .agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    )
+
+
+def code_features(
+    panel: DataFrame, entity: str, period: str, coded: Sequence[str]
+) -> DataFrame:
+    """First, last and number of different present values of each coded column, per entity.
+
+    At equal periods the smaller value is the first and the larger the last.
+    """
+    wide = []
+    for c in coded:
+        here = F.col("_column") == c
+        start = F.when(here, F.struct("_first", "value"))
+        end = F.when(here, F.struct("_last", "value"))
+        wide += [
+            F.min(start)["value"].alias(f"first_{c}"),
+            F.max(end)["value"].alias(f"last_{c}"),
+            F.count_if(here).alias(f"nunique_{c}"),
+        ]
+    return code_spans(panel, entity, period, coded).groupBy(entity).agg(*wide)
 
 
 def entity_features(
@@ -37,21 +63,16 @@ def entity_features(
     period: str = "period_date",
     numeric: Sequence[str] | None = None,
     coded: Sequence[str] | None = None,
-    tiebreak: Sequence[str] = (),
-    exact: bool = False,
 ) -> DataFrame:
     """Rows, period range, and summaries of all `num_*`, `cat_*` and `txt_*` columns per entity.
 
-    All functions have small, mergeable states, so partial aggregation runs
-    before the only shuffle and an entity with very many rows costs no more
-    there than any other. `exact` counts different values instead of
-    estimating them. Periods tie; `tiebreak` columns make first and last
-    values definite.
+    Numbers and codes are summarised apart, each reading only its own columns:
+    numbers in one hash aggregate, codes by way of their different values. The
+    two results have one row per entity and are joined on it.
     """
     numeric = [c for c in panel.columns if c.startswith("num_")] if numeric is None else numeric
     if coded is None:
         coded = [c for c in panel.columns if c.startswith(("cat_", "txt_"))]
-    order = F.struct(period, *tiebreak) if tiebreak else F.col(period)
     wide = [
         F.count("*").alias("n_months"),
         F.min(period).alias("min_period"),
@@ -59,7 +80,9 @@ def entity_features(
     ]
     for c in numeric:
         wide += numeric_summary(c)
-    for c in coded:
-        count = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        wide += [*first_last(c, order), count.alias(f"nunique_{c}")]
-    return panel.groupBy(entity).agg(*wide)
+    numbers = panel.groupBy(entity).agg(*wide)
+    if not coded:
+        return numbers
+    codes = code_features(panel, entity, period, coded).withColumnRenamed(entity, "_entity")
+    joined = numbers.join(codes, F.col(entity).eqNullSafe(F.col("_entity")), "left")
+    return joined.drop("_entity").fillna(0, [f"nunique_{c}" for c in coded])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import to_double, to_int
-from cohortloom.functions.periods import parse_period
+from cohortloom.functions.periods import is_period, parse_period
 from cohortloom.roles import Roles
 
 
@@ -32,13 +32,12 @@ def build_panel(
     if ids is not None:
         named = ids.select(F.col(ids.columns[0]).alias(roles.entity))
         df = df.join(named, roles.entity, "left_semi")
-    period = parse_period(F.col(roles.period), period_format)
     year = to_int(F.col("year"))
-    df = df.where(period.isNotNull() & year.isNotNull())
+    df = df.where(is_period(F.col(roles.period), period_format) & year.isNotNull())
     return df.select(
         F.col(roles.entity).alias(entity_name),
         F.col(roles.period).alias("period_raw"),
-        period.alias("period_date"),
+        parse_period(F.col(roles.period), period_format).alias("period_date"),
         year.alias("year"),
         F.col("quarter"),
         *[F.col(c).alias(f"cat_{c}") for c in roles.codes],

@@ -165,12 +165,8 @@ def bisecting_sweep(spark, sf_dir):
 @query()
 def embedding_clusters(spark, sf_dir):
     """Embeddings standardised, swept over k, and labelled with the best k."""
-    names = [f"e{i}" for i in range(64)]
-    wide = table(spark, sf_dir, "embeddings").select(
-        "vec_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]
-    )
-    stored = materialise(wide, "embeddings")
-    report = cl.silhouette_sweep(stored, "vec_id", names, "embedding", range(2, 7), n_init=1)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    report = cl.silhouette_sweep(rows, "vec_id", "embedding", "embedding", range(2, 7), n_init=1)
     _, k = cl.winner(report)
-    fit = cl.kmeans_fit(stored, "vec_id", names, k, n_init=1)
+    fit = cl.kmeans_fit(rows, "vec_id", "embedding", k, n_init=1)
     return fit.labels.withColumn("k", F.lit(k))

@@ -14,7 +14,6 @@ from cohortloom.plans.star_panel import (
     FEATURES_SQL,
     MEANS,
     PANEL_SQL,
-    TIEBREAK,
     VARIED,
     features_sql,
     numeric_features,
@@ -38,13 +37,12 @@ def _digits(feature: str) -> int:
 
 
 _CODED = ["cat_flag", "cat_status", "txt_priority"]
-_ORDER_SQL = "row(ship_ts, order_key, line_no)"
 
 
 def _coded_sql(columns) -> str:
     return ", ".join(
-        f"arg_min({c}, {_ORDER_SQL}) AS first_{c}, arg_max({c}, {_ORDER_SQL}) AS last_{c},"
-        f" count(DISTINCT {c}) AS nunique_{c}"
+        f"arg_min({c}, row(period_date, {c})) AS first_{c}, arg_max({c}, row(period_date, {c}))"
+        f" AS last_{c}, count(DISTINCT {c}) AS nunique_{c}"
         for c in columns
     )
 
@@ -58,12 +56,8 @@ def _coded_sql(columns) -> str:
     + " FROM features JOIN coded USING (entity_id)"
 )
 def entity_features(spark, sf_dir):
-    wide = build_features(
-        panel(spark, sf_dir, orders=True),
-        numeric=[f"num_{b}" for b in BASES],
-        tiebreak=TIEBREAK,
-        exact=True,
-    )
+    rows = panel(spark, sf_dir, orders=True)
+    wide = build_features(rows, numeric=[f"num_{b}" for b in BASES])
     return wide.select(
         *[rounded(c, _digits(c)).alias(c) if c in _WIDE else c for c in wide.columns]
     )
@@ -75,15 +69,7 @@ def entity_features(spark, sf_dir):
 )
 def first_last_values(spark, sf_dir):
     """First and last present code per entity; missing codes at either end are passed over."""
-    return build_features(
-        panel(spark, sf_dir), numeric=[], coded=["cat_status"], tiebreak=TIEBREAK, exact=True
-    )
-
-
-@query()
-def entity_features_sketch(spark, sf_dir):
-    """The production form: distinct values estimated, a single aggregate."""
-    return build_features(panel(spark, sf_dir, orders=True), tiebreak=TIEBREAK)
+    return build_features(panel(spark, sf_dir), numeric=[], coded=["cat_status"])
 
 
 @query(

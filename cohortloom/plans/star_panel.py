@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.periods import parse_period
+from cohortloom.functions.periods import month_start
 from cohortloom.operators.features import entity_features
 from cohortloom.roles import Roles
 
@@ -27,7 +27,6 @@ BASES = ["quantity", "price", "tax", "disc", "const"]
 MEANS = [f"mean_num_{b}" for b in BASES]
 VARIED = [f"mean_num_{b}" for b in BASES if b != "const"]
 FAMILIES = ["mean", "std", "min", "max"]
-TIEBREAK = ["ship_ts", "order_key", "line_no"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,11 +157,16 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, orders: bool = False) -> DataFrame:
-    """The typed panel: readable rows under panel names."""
-    rows = base_rows(spark, sf_dir, orders)
-    dated = rows.withColumn("period_date", parse_period(F.col("period_raw")))
+    """The typed panel: readable rows under panel names.
+
+    The period text is unreadable exactly where the quantity is 50, and
+    otherwise names the ship month, so the dates need no detour over texts;
+    `build_panel` on `text_rows` gives the same periods.
+    """
+    rows = base_rows(spark, sf_dir, orders).where(F.col("quantity") != 50)
+    dated = rows.withColumn("period_date", month_start(F.col("ship_ts")))
     named = {n: p for n, p in PREFIXED.items() if n in rows.columns}
-    return dated.where(F.col("period_date").isNotNull()).withColumnsRenamed(named)
+    return dated.withColumnsRenamed(named)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
