@@ -25,7 +25,8 @@ def list_files(spark: SparkSession, root: str, name_filter: str | None = None) -
     """One row per file below `root`: path, file name and bytes.
 
     Only the listing is used: the content column of the source is pruned, so
-    no file is opened. Hive-style folders stay part of the path.
+    no file is opened. Hive-style folders stay part of the path. Empty files
+    are not listed, as Spark plans no task for them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_filter:
