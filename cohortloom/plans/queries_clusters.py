@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import clustering as cl
 from cohortloom.operators import latent as lat
 from cohortloom.operators.silhouette import silhouette
+from cohortloom.operators.silhouette import silhouette_squared as squared_form
 from cohortloom.plans.queries_latent import Z, stored_zscores
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
 from cohortloom.plans.star_panel import FEATURES_SQL, VARIED, numeric_features, table
@@ -49,6 +50,21 @@ def silhouette_per_point(spark, sf_dir):
     return found.withColumn("silhouette", rounded("silhouette"))
 
 
+@query(
+    _PAIR_SQL.replace(
+        "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d",
+        "power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) AS d",
+    )
+    + f" SELECT 'label' AS labelling, {rounded_sql('avg(s)')} AS silhouette FROM scores"
+)
+def silhouette_squared(spark, sf_dir):
+    """The linear-time form with squared distances."""
+    found = squared_form(table(spark, sf_dir, "embeddings"), "embedding", "label")
+    return spark.createDataFrame([("label", found)], "labelling string, silhouette double").select(
+        "labelling", rounded("silhouette").alias("silhouette")
+    )
+
+
 @query(
     "WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,"
     " generate_subscripts(embedding, 1) AS i FROM embeddings),"

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -115,50 +115,41 @@ def existing_partitions(spark: SparkSession, root: str) -> list[tuple[int, str]]
     return sorted((r["year"], r["quarter"]) for r in found.distinct().collect())
 
 
-def ingest_delimited(
+LOG_SCHEMA = (
+    "member string, year int, quarter string, delimiter string, n_columns int, "
+    "n_rows bigint, seconds double, compression string, finished_at timestamp"
+)
+
+
+def load_members(
     spark: SparkSession,
-    source: str,
+    members: Sequence[Row],
     target: str,
-    years: Iterable[int] | None = None,
-    process_all: bool = False,
-    overwrite: bool = False,
     compression: str = "snappy",
     null_tokens: Iterable[str] = NULL_TOKENS,
     delimiter: str | None = None,
     width: int | None = None,
-    log_path: str | None = None,
 ) -> DataFrame:
-    """Load delimited members (`...2020Q1...`) into `target/year=.../quarter=...`.
+    """Read member files and write `target/year=.../quarter=...`, replacing those partitions.
 
-    Partitions that exist are skipped unless `overwrite`. All new members are
-    read by one job per distinct layout, not one job per file. Giving both
+    `members` has one row `(path, file, year, quarter)` per file. Files are
+    read by one plan per distinct layout, not one job per file. Giving both
     `delimiter` and `width` saves the pass over the text that detects them.
-    Returns the load log of this run, one row per partition.
+    Returns the load log, one row per partition.
     """
     started = time.time()
     tokens = tuple(null_tokens)
-    members = member_filter(list_files(spark, source), years, process_all)
-    if not overwrite:
-        done = existing_partitions(spark, target)
-        if done:
-            loaded = spark.createDataFrame(done, "year int, quarter string")
-            members = members.join(loaded, ["year", "quarter"], "left_anti")
-    todo = members.collect()  # one row per member file
-    if not todo:
+    paths = [m["path"] for m in members]
+    if not paths:
         return spark.createDataFrame([], LOG_SCHEMA)
-
-    paths = [r["path"] for r in todo]
     if delimiter is not None and width is not None:
         layouts = {p: (delimiter, width) for p in paths}
     else:
-        sniffed = sniff_layout(read_lines(spark, paths)).collect()  # one row per member file
+        sniffed = sniff_layout(read_lines(spark, paths)).collect()  # one row per file
         layouts = {r["path"]: (r["delimiter"], r["n_columns"]) for r in sniffed}
-
     by_layout: dict[tuple[str, int], list[str]] = {}
     for path, layout in layouts.items():
         by_layout.setdefault(layout, []).append(path)
-    if not by_layout:  # only empty files
-        return spark.createDataFrame([], LOG_SCHEMA)
     parts = [
         read_delimited(spark, group, sep, n_columns, tokens, with_year_quarter=True)
         for (sep, n_columns), group in sorted(by_layout.items())
@@ -168,20 +159,38 @@ def ingest_delimited(
     bronze = bronze.select(*column_names(widest), "year", "quarter")
     # Every input split belongs to one member and so to one partition: no shuffle is needed.
     write_table(bronze, target, ("year", "quarter"), compression, mode="replace_partitions")
-
     seconds = round(time.time() - started, 3)
-    log = _load_log(spark, target, todo, layouts, compression, seconds)
+    return _load_log(spark, target, members, layouts, compression, seconds)
+
+
+def ingest_delimited(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    years: Iterable[int] | None = None,
+    process_all: bool = False,
+    overwrite: bool = False,
+    log_path: str | None = None,
+    **options,
+) -> DataFrame:
+    """Load the delimited members (`...2020Q1...`) below `source` into a partitioned table.
+
+    Partitions that exist are skipped unless `overwrite`. `options` go to
+    `load_members`. Returns the load log of this run, which is also appended
+    to `log_path`.
+    """
+    members = member_filter(list_files(spark, source), years, process_all)
+    if not overwrite:
+        done = existing_partitions(spark, target)
+        if done:
+            loaded = spark.createDataFrame(done, "year int, quarter string")
+            members = members.join(loaded, ["year", "quarter"], "left_anti")
+    log = load_members(spark, members.collect(), target, **options)  # one row per member file
     if log_path:
         append_load_log(log, log_path)
     return log
 
 
-LOG_SCHEMA = (
-    "member string, year int, quarter string, delimiter string, n_columns int, "
-    "n_rows bigint, seconds double, compression string, finished_at timestamp"
-)
-
-
 def _load_log(spark, target, members, layouts, compression, seconds) -> DataFrame:
     rows: dict[tuple[int, str], list] = {}
     for m in members:
