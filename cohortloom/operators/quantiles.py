@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators.tidy import tidy_aggregate
+from cohortloom.operators.tidy import MAX_BROADCAST_ROWS, broadcast_rows, tidy_aggregate
 
 SKETCH_ACCURACY = 10_000
-# Up to this many groups the brackets travel as a literal table.
-MAX_LITERAL_GROUPS = 4096
+# Up to this many groups their brackets are sent to every task.
+MAX_BROADCAST_GROUPS = MAX_BROADCAST_ROWS
 
 
 def _brackets(data: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
@@ -55,16 +55,15 @@ def exact_quantiles(
     A group without values gives no row.
     """
     by, probs = list(by), list(probs)
-    spark = df.sparkSession
     v = F.col(value).cast("double")
     data = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     keys = {c: f"_key_{c}" for c in by}
     brackets = _brackets(data, by, probs).withColumnsRenamed(keys)
-    # Few groups: their brackets become a literal table, of known size, which
-    # Spark broadcasts by itself. Many groups: a join that Spark plans by size.
-    few = brackets.limit(MAX_LITERAL_GROUPS + 1).collect()
-    if len(few) <= MAX_LITERAL_GROUPS:
-        brackets = spark.createDataFrame(few, brackets.schema)
+    # Few groups: their brackets are broadcast, so that no row moves. Many
+    # groups: a join that Spark plans by size.
+    few = brackets.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    if len(few) <= MAX_BROADCAST_GROUPS:
+        brackets = broadcast_rows(df, few, brackets.schema)
     if by:
         same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
         matched = data.join(brackets, same).drop(*keys.values())
@@ -159,9 +158,9 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     x = F.col(value)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     within = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
-    few = quartiles.limit(MAX_LITERAL_GROUPS + 1).collect()
-    if len(few) <= MAX_LITERAL_GROUPS:
-        quartiles = df.sparkSession.createDataFrame(few, quartiles.schema)
+    few = quartiles.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    if len(few) <= MAX_BROADCAST_GROUPS:
+        quartiles = broadcast_rows(df, few, quartiles.schema)
     return (
         df.where(x.isNotNull())
         .join(quartiles, by)

@@ -17,6 +17,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.tidy import broadcast_rows
+
 BLOCK_ROWS = 1024
 
 
@@ -32,7 +34,7 @@ def _distance_sums(n_clusters: int):
         import pandas as pd
 
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"point": [], "sums": []})
+            return pd.DataFrame({"point": [], "slots": [], "sums": []})
         a = np.stack(left["x"].to_numpy())
         b = np.stack(right["x"].to_numpy())
         middle = a.mean(axis=0)
@@ -43,7 +45,8 @@ def _distance_sums(n_clusters: int):
         member = np.zeros((len(right), n_clusters))
         for row, slots in enumerate(right["slots"]):
             member[row, np.asarray(slots)] = 1.0
-        return pd.DataFrame({"point": left["point"], "sums": list(distances @ member)})
+        sums = list(distances @ member)
+        return pd.DataFrame({"point": left["point"], "slots": left["slots"], "sums": sums})
 
     return body
 
@@ -82,7 +85,6 @@ def silhouette(
     returns `(key, labelling, cluster, silhouette)` instead. The input is read
     several times: pass a stored table.
     """
-    spark = df.sparkSession
     df = df.dropna(subset=list(labels))
     # Clusters per labelling: a small report. It gives every (labelling,
     # cluster) its slot in the vector of distance sums.
@@ -107,35 +109,36 @@ def silhouette(
         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"),
     )
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.select("point", "x", "block", every_block.alias("other"))
-    right = points.select("point", "x", "slots", F.col("block").alias("other"), every_block.alias("block"))
+    left = points.withColumn("other", every_block)
+    right = points.withColumnRenamed("block", "other").withColumn("block", every_block)
     dtype = dict(points.dtypes)["point"]
     sums = (
         left.groupBy("block", "other")
         .cogroup(right.groupBy("block", "other"))
-        .applyInPandas(_distance_sums(len(slot_of)), f"point {dtype}, sums array<double>")
+        .applyInPandas(
+            _distance_sums(len(slot_of)), f"point {dtype}, slots array<int>, sums array<double>"
+        )
     )
-    slots = spark.createDataFrame(
-        [(slot_of[(r["labelling"], r["cluster"])], r["labelling"], r["cluster"], r["count"])
-         for r in sizes],
-        f"slot int, labelling string, cluster {dict(df.dtypes)[labels[0]]}, size bigint",
+    described = [
+        (slot_of[(r["labelling"], r["cluster"])], r["labelling"], r["cluster"], r["count"])
+        for r in sizes
+    ]
+    cluster_type = dict(df.dtypes)[labels[0]]
+    slots = broadcast_rows(
+        df, described, f"slot int, labelling string, cluster {cluster_type}, size bigint"
     )
-    totals = (
-        sums.select("point", F.posexplode("sums").alias("slot", "distance"))
-        .groupBy("point", "slot")
+    per_slot = (
+        sums.select("point", "slots", F.posexplode("sums").alias("slot", "distance"))
+        .groupBy("point", "slot", F.array_contains("slots", F.col("slot")).alias("is_own"))
         .agg(F.sum("distance").alias("distance"))
         .join(slots, "slot")
     )
-    own = points.select("point", F.explode("slots").alias("slot")).join(slots, "slot").select(
-        "point", "labelling", F.col("cluster").alias("own"), F.col("size").alias("own_size")
-    )
-    is_own = F.col("cluster") == F.col("own")
-    inner = F.max(F.when(is_own, F.try_divide(F.col("distance"), F.col("size") - 1)))
-    outer = F.min(F.when(~is_own, F.col("distance") / F.col("size")))
-    scored = (
-        totals.join(own, ["point", "labelling"])
-        .groupBy("point", "labelling", "own", "own_size")
-        .agg(inner.alias("a"), outer.alias("b"))
+    is_own = F.col("is_own")
+    scored = per_slot.groupBy("point", "labelling").agg(
+        F.max(F.when(is_own, F.col("cluster"))).alias("own"),
+        F.max(F.when(is_own, F.col("size"))).alias("own_size"),
+        F.max(F.when(is_own, F.try_divide(F.col("distance"), F.col("size") - 1))).alias("a"),
+        F.min(F.when(~is_own, F.col("distance") / F.col("size"))).alias("b"),
     )
     width = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     score = F.when(F.col("own_size") > 1, F.coalesce(width, F.lit(0.0))).otherwise(0.0)

@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Stat = Callable[[str], Column]
 
+# A table of at most this many collected rows may be sent to every task.
+MAX_BROADCAST_ROWS = 4096
+
+
+def broadcast_rows(
+    df: DataFrame, rows: Sequence[Row | tuple], schema: StructType | str
+) -> DataFrame:
+    """Collected rows as a table for joins with `df`; broadcast while they are few.
+
+    Spark does not know the size of such a table and might shuffle the large
+    side by a key with few values. Their number is known here, so the hint is
+    safe; above the limit the join is left to Spark.
+    """
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_ROWS else table
+
 
 def tidy_aggregate(
     df: DataFrame,

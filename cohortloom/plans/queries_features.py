@@ -186,19 +186,23 @@ def corr_summary(spark, sf_dir):
     return found.select(*[rounded(c).alias(c) for c in found.columns])
 
 
-_OUTLIER_SQL = f"WITH {_RARE_SQL}, tails AS (SELECT " + ", ".join(
+# Rounded first: a value that equals its percentile must do so in both engines.
+_OUTLIER_SQL = f"WITH {_RARE_SQL}, steady AS (SELECT " + ", ".join(
+    f"{rounded_sql(c, _digits(c))} AS {c}" for c in _WIDE_RARE
+) + " FROM features), tails AS (SELECT " + ", ".join(
     f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in _WIDE_RARE
-) + " FROM features), rates AS (" + " UNION ALL ".join(
+) + " FROM steady), rates AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, avg(CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN 1.0 ELSE 0.0 END)"
-    f" AS extreme_rate, '{c.split('_')[0]}' AS family FROM features, tails"
+    f" AS extreme_rate, '{c.split('_')[0]}' AS family FROM steady, tails"
     f" WHERE {c} IS NOT NULL HAVING count(*) >= 1000"
     for c in _WIDE_RARE
 ) + ")"
 
 
 def _rates(spark, sf_dir):
-    features = materialise(numeric_features(spark, sf_dir, _BASES_RARE), "features")
-    return ev.outlier_rates(features, _WIDE_RARE)
+    features = numeric_features(spark, sf_dir, _BASES_RARE)
+    steady = features.select(*[rounded(c, _digits(c)).alias(c) for c in _WIDE_RARE])
+    return ev.outlier_rates(materialise(steady, "features"), _WIDE_RARE)
 
 
 @query(

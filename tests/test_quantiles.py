@@ -33,8 +33,8 @@ def test_large_skewed_groups_equal_numpy(spark):
         assert r["value"] == pytest.approx(np.quantile(xs, r["prob"]), rel=1e-12)
 
 
-def test_more_groups_than_the_literal_table_holds(spark, monkeypatch):
-    monkeypatch.setattr(q, "MAX_LITERAL_GROUPS", 10)
+def test_more_groups_than_may_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(q, "MAX_BROADCAST_GROUPS", 10)
     table = spark.range(3000).select((F.col("id") % 100).alias("g"), F.col("id").alias("x"))
     found = {r["g"]: r["value"] for r in q.exact_quantiles(table, "x", [0.5], ["g"]).collect()}
     assert len(found) == 100
