@@ -163,6 +163,7 @@ def select_features(
     if mode == "all":
         decision = F.lit("KEEP")
     elif mode == "filtered":
+        # The wording of the decisions. A constant is reported first.
         decision = (
             F.when(constant, "EXCLUDE_constante_std0")
             .when(sparse, f"EXCLUDE_missingness_gt_{max_null}")

@@ -92,6 +92,26 @@ def kmeans_sweep(spark, sf_dir):
     )
 
 
+@query(
+    f"WITH {FEATURES_SQL} SELECT CAST(3 AS BIGINT) AS n_k, CAST(2 AS INTEGER) AS lowest,"
+    " CAST(4 AS INTEGER) AS highest, TRUE AS in_range, TRUE AS cost_falls,"
+    " count(*) AS n_entities FROM features"
+)
+def sweep_consistency(spark, sf_dir):
+    """What must hold for any sweep: every k scored within [-1, 1], at falling cost."""
+    features = numeric_features(spark, sf_dir).select("entity_id", *VARIED)
+    stored = materialise(features, "features")
+    report = cl.silhouette_sweep(stored, "entity_id", VARIED, "s", range(2, 5), fit_n=None, n_init=2)
+    costs = F.transform(F.array_sort(F.collect_list(F.struct("k", "cost"))), lambda s: s["cost"])
+    return report.agg(
+        F.count("*").alias("n_k"),
+        F.min("k").alias("lowest"),
+        F.max("k").alias("highest"),
+        F.min(F.col("silhouette").between(-1.0, 1.0)).alias("in_range"),
+        (costs == F.sort_array(F.collect_list("cost"), asc=False)).alias("cost_falls"),
+    ).withColumn("n_entities", stored.agg(F.count("*")).scalar())
+
+
 def _final(spark, sf_dir):
     features = numeric_features(spark, sf_dir).select("entity_id", *VARIED)
     stored = materialise(features, "features")

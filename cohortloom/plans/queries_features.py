@@ -12,7 +12,6 @@ from cohortloom.plans.star_panel import (
     BASES,
     FAMILIES,
     FEATURES_SQL,
-    MEANS,
     PANEL_SQL,
     VARIED,
     features_sql,
@@ -257,8 +256,8 @@ def feature_selection(spark, sf_dir):
     )
 
 
-def _z_sql(c: str, source: str = "features", value: str | None = None) -> str:
-    x = value or f"coalesce({c}, mu_{c})"
+def _z_sql(c: str) -> str:
+    x = f"coalesce({c}, mu_{c})"
     return f"CASE WHEN sd_{c} IS NULL OR sd_{c} = 0 THEN 0.0 ELSE ({x} - mu_{c}) / sd_{c} END"
 
 

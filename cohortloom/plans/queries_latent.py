@@ -288,6 +288,33 @@ def varimax_pair_scores(spark, sf_dir):
     )
 
 
+@query(
+    f"WITH {FEATURES_SQL} SELECT count(*) AS n_entities, CAST({len(Z)} AS BIGINT) AS n_components,"
+    " CAST(1.0 AS DOUBLE) AS total_share, TRUE AS unit_loadings, TRUE AS uncorrelated,"
+    " TRUE AS variances_match FROM features"
+)
+def pca_consistency(spark, sf_dir):
+    """What must hold for any full set of components of standardised features."""
+    z = stored_zscores(spark, sf_dir)
+    fit = lat.fit_pca(z, Z)
+    names = lat.component_names(fit.k)
+    scores = lat.pca_scores(z, "entity_id", fit)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    largest = F.greatest(*[F.abs(F.covar_samp(a, b)) for a, b in pairs])
+    gaps = [
+        F.abs(F.var_samp(n) - F.lit(float(r) * len(Z))) for n, r in zip(names, fit.ratios)
+    ]
+    norms = lat.loading_norms(lat.pca_loadings(spark, fit))
+    off = norms.agg(F.max(F.abs(F.col("loading_norm") - 1))).scalar()
+    return scores.agg(
+        F.count("*").alias("n_entities"),
+        F.lit(fit.k).cast("bigint").alias("n_components"),
+        F.round(F.lit(float(fit.ratios.sum())), 6).alias("total_share"),
+        (largest < 1e-6).alias("uncorrelated"),
+        (F.greatest(*gaps) < 1e-6).alias("variances_match"),
+    ).withColumn("unit_loadings", off < 1e-6)
+
+
 # --- all features ---------------------------------------------------------------------
 
 

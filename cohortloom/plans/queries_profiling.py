@@ -251,3 +251,24 @@ def approx_distinct_entities(spark, sf_dir):
 def approx_quantiles(spark, sf_dir):
     features = numeric_features(spark, sf_dir, BASES)
     return approximate_quantiles(features, MEANS, [0.01, 0.25, 0.5, 0.75, 0.99])
+
+
+@query(
+    f"WITH {PANEL_SQL} SELECT count(*) AS n_rows, TRUE AS entities_close, TRUE AS median_close"
+    " FROM panel"
+)
+def sketch_consistency(spark, sf_dir):
+    """Estimates beside exact answers: distinct entities within 10 %, the median within 1 % of ranks."""
+    rows = panel(spark, sf_dir).select("entity_id", "num_price")
+    median = rows.agg(F.percentile_approx("num_price", 0.5)).scalar()
+    counted = rows.withColumn("_m", median).agg(
+        F.count("*").alias("n_rows"),
+        F.approx_count_distinct("entity_id").alias("estimate"),
+        F.count_distinct("entity_id").alias("exact"),
+        F.avg(F.when(F.col("num_price") <= F.col("_m"), 1.0).otherwise(0.0)).alias("below"),
+    )
+    return counted.select(
+        "n_rows",
+        (F.abs(F.col("estimate") / F.col("exact") - 1) < 0.1).alias("entities_close"),
+        (F.abs(F.col("below") - 0.5) < 0.01).alias("median_close"),
+    )

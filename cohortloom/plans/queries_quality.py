@@ -70,14 +70,12 @@ _TEXT_COLUMNS = [
 ]
 
 
-@query(
-    f"WITH {BASE_SQL} "
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS col, {rounded_sql(f'avg(CASE WHEN {c} IS NULL OR CAST({c} AS VARCHAR) = {chr(39) * 2} THEN 1.0 ELSE 0.0 END)')}"
-        " AS null_ratio FROM base"
-        for c in _TEXT_COLUMNS
-    )
-)
+def _missing_sql(c: str) -> str:
+    blank = f"CASE WHEN {c} IS NULL OR CAST({c} AS VARCHAR) = '' THEN 1.0 ELSE 0.0 END"
+    return f"SELECT '{c}' AS col, {rounded_sql(f'avg({blank})')} AS null_ratio FROM base"
+
+
+@query(f"WITH {BASE_SQL} " + " UNION ALL ".join(_missing_sql(c) for c in _TEXT_COLUMNS))
 def missingness_by_column(spark, sf_dir):
     found = q.missing_by_column(text_rows(spark, sf_dir), _TEXT_COLUMNS)
     return found.select("col", rounded("null_ratio").alias("null_ratio"))

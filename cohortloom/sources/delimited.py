@@ -205,8 +205,12 @@ def _load_log(spark, target, members, layouts, compression, seconds) -> DataFram
     loaded = spark.createDataFrame(
         described, "member string, year int, quarter string, delimiter string, n_columns int"
     )
-    # Rows as written, counted from the files' own metadata.
-    written = partition_counts(scan_table(spark, target))
+    # Rows as written, counted from the files' own metadata, of these partitions only.
+    these = reduce(
+        lambda a, b: a | b,
+        [(F.col("year") == y) & (F.col("quarter") == q) for y, q in sorted(rows)],
+    )
+    written = partition_counts(scan_table(spark, target).where(these))
     return loaded.join(written, ["year", "quarter"], "left").select(
         "member",
         "year",
