@@ -69,15 +69,24 @@ def bytes_by_period(files: DataFrame) -> DataFrame:
 
 def member_name(path: Column) -> Column:
     """Folder and file name, the part of a path that names a member."""
-    return F.regexp_extract(path, r"([^/]*/[^/]*)$", 1)
+    return F.substring_index(path, "/", -2)
+
+
+def _member_code(path: Column) -> Column:
+    """`2020Q1` in the name of a member, else the empty text.
+
+    Year and quarter are both cut from it, so a row costs one pattern match.
+    """
+    return F.regexp_extract(member_name(path), YEAR_QUARTER, 0)
 
 
 def member_year(path: Column) -> Column:
-    return _captured(member_name(path), YEAR_QUARTER, 1).cast("int")
+    return F.substring(_member_code(path), 1, 4).try_cast("int")
 
 
 def member_quarter(path: Column) -> Column:
-    return F.concat(F.lit("Q"), _captured(member_name(path), YEAR_QUARTER, 2))
+    code = _member_code(path)
+    return F.when(code != "", F.concat(F.lit("Q"), F.substring(code, -1, 1)))
 
 
 def member_filter(
