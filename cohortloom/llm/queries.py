@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import language, toxicity
+from cohortloom.llm import language, near_dedup, toxicity
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -77,3 +77,9 @@ def op8_toxicity(spark, sf_dir):
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op3_near_duplicates(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, how=near_dedup.Settings(words=3, percent=85, rows=8))
