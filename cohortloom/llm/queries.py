@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import language, near_dedup, toxicity
+from cohortloom.llm import decontaminate, language, near_dedup, packing, toxicity
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -83,3 +84,16 @@ def op8_toxicity(spark, sf_dir):
 def op3_near_duplicates(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, how=near_dedup.Settings(words=3, percent=85, rows=8))
+
+
+@query()
+def op7_best_fit_packing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op5_decontaminate(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.inline("leaks"))
