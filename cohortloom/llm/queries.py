@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, near_dedup, packing, toxicity
+from cohortloom.llm import decontaminate, language, line_dedup, near_dedup, packing, toxicity
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -97,3 +97,15 @@ def op5_decontaminate(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", F.inline("leaks"))
+
+
+@query()
+def op4_line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs)
+    return found.select(
+        "doc_id",
+        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
+    )
