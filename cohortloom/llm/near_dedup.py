@@ -14,9 +14,11 @@ sets agree in a register about as often as their Jaccard similarity.
    a band of n classes gives n - 1 pairs).
 3. A joint likelihood estimate of the similarity from the registers drops pairs
    far below the threshold; the rest are confirmed on their full shingle sets.
-4. Confirmed links are joined to components. Pairs that share a band but lie in
-   different components then are candidates too, and are confirmed alike: no
-   pair of a band is left out, and none inside a component is made.
+4. Confirmed links are joined to components. A band may still hold texts of
+   different components. Two such texts can only reach the threshold if they
+   share one of their rarest shingles (of n shingles the n - ceil(t * n) + 1
+   rarest), so those pairs are candidates too and are confirmed alike. Texts
+   that share a frequent passage but nothing rare make no pair.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.blocks import as_block, blocks, bounded_batches, mix, shingle_sets
@@ -200,17 +202,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, how: Settings) -> DataFrame:
     return joined.mapInArrow(judge, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold.
-
-    Texts are fetched only for ids in a pair; each pair row holds two texts.
-    """
-    pairs = checkpoint(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = materialise(
-        texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts"
-    )
+def _confirmed(pairs: DataFrame, texts: DataFrame, how: Settings) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold; each pair row holds two texts."""
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
@@ -232,6 +225,43 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, how: Sett
     return joined.mapInArrow(confirm, "a long, b long")
 
 
+def _rare_pairs(open_ids: DataFrame, texts: DataFrame, how: Settings) -> DataFrame:
+    """Pairs of open ids in different components that share one of their rarest shingles.
+
+    `open_ids` has id, n and component. How often a shingle occurs is counted
+    among the open texts; any order that is the same for all would be right.
+    """
+    schema = "id long, shingle long"
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            hashes, counts = shingle_sets(block, how.words)
+            owner = np.repeat(np.arange(len(block)), counts)
+            yield pa.RecordBatch.from_arrays(
+                [block.rows.column(0).take(pa.array(owner)), pa.array(hashes.view(np.int64))],
+                ["id", "shingle"],
+            )
+
+    found = texts.join(open_ids.select("id"), "id", "left_semi").select("id", "text")
+    found = materialise(found.mapInArrow(explode, schema), "open-shingles")
+    often = found.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = found.join(often, "shingle", "left").fillna(1, ["often"])
+    order = Window.partitionBy("id").orderBy("often", "shingle")
+    ranked = ranked.withColumn("place", F.row_number().over(order)).join(open_ids, "id")
+    needed = F.floor((F.col("n") * how.percent + 99) / 100)
+    rare = ranked.filter((F.col("place") <= F.col("n") - needed + 1) & (F.col("often") > 1))
+    rare = materialise(rare.select("shingle", "id", "n", "component"), "rare-shingles")
+    one, two = rare.alias("x"), rare.alias("y")
+    pairs = one.join(
+        two,
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.id") < F.col("y.id"))
+        & (100 * F.least("x.n", "y.n") >= how.percent * F.greatest("x.n", "y.n")),
+    )
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -268,32 +298,25 @@ def near_duplicates(
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     shared = materialise(keyed.join(hubs.filter("hub <> last"), "key").drop("last"), "shared-bands")
     small = reps.select("id", "n", "registers")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    wanted = shared.select("id").distinct()
+    texts = materialise(
+        texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts"
+    )
     star = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     star = checkpoint(star.distinct())
-    links = checkpoint(_confirmed(_likely(star, small, how), docs, key, text, how))
-    # Pairs of a band that are still in different components.
+    links = checkpoint(_confirmed(_likely(star, small, how), texts, how))
+    # Ids with a band in which different components still meet.
     parts = checkpoint(components(links))
-    placed = (
-        shared.select("key", "id", "n")
-        .join(parts, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    open_keys = placed.groupBy("key").agg(
+    placed = shared.select("key", "id", "n").join(parts, "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(
         F.min("component").alias("first"), F.max("component").alias("last")
     )
-    still = checkpoint(
-        placed.join(open_keys.filter("first <> last").select("key"), "key", "left_semi")
-    )
-    one, two = still.alias("x"), still.alias("y")
-    across = one.join(
-        two,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (100 * F.least("x.n", "y.n") >= how.percent * F.greatest("x.n", "y.n")),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    across = across.distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirmed(_likely(checkpoint(across), small, how), docs, key, text, how)
+    mixed = mixed.filter("first <> last").select("key")
+    open_ids = placed.join(mixed, "key", "left_semi").select("id", "n", "component").distinct()
+    across = _rare_pairs(checkpoint(open_ids), texts, how).join(star, ["a", "b"], "left_anti")
+    more = _confirmed(_likely(checkpoint(across), small, how), texts, how)
     tied = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = components(links.union(more).union(tied))
     return (

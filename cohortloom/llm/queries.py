@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, line_dedup, near_dedup, packing, toxicity
+from cohortloom.llm import decontaminate, language, line_dedup, near_dedup, packing, repeats, toxicity
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -109,3 +109,17 @@ def op4_line_dedup(spark, sf_dir):
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
         F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
     )
+
+
+@query()
+def op9_repeated_passages(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.drop_repeats(docs)
+    spans = F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        "doc_id",
+        F.size("removed_spans").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed_spans"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
