@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, line_dedup, near_dedup, packing, repeats, toxicity
+from cohortloom.llm import decontaminate, language, line_dedup, near_dedup, packing, repeats, secrets, toxicity
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -123,3 +123,23 @@ def op9_repeated_passages(spark, sf_dir):
         F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+@query()
+def op10_secret_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+
+    def joined(spans):
+        lines = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(lines, ",")
+
+    def only(*kinds):
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *(F.size(only(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(joined(only(*secrets.BASE)), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
