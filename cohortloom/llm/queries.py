@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, line_dedup, near_dedup, packing, repeats, secrets, toxicity
+from cohortloom.llm import decontaminate, language, line_dedup, multi_index, near_dedup, packing, repeats, secrets, toxicity
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -143,3 +143,9 @@ def op10_secret_scan(spark, sf_dir):
         F.sha2(joined(only(*secrets.BASE)), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
     )
+
+
+@query()
+def op2_nearest_vectors(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(vectors, F.col("vec_id") % 20 == 0)
