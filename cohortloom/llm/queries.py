@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, line_dedup, multi_index, near_dedup, packing, repeats, secrets, toxicity
+from cohortloom.llm import (
+    chat,
+    decontaminate,
+    language,
+    line_dedup,
+    multi_index,
+    near_dedup,
+    packing,
+    repeats,
+    secrets,
+    toxicity,
+)
 from cohortloom.llm.sampling import bounded_sample, remainder
 from cohortloom.plans.registry import Registry
 
@@ -149,3 +162,110 @@ def op10_secret_scan(spark, sf_dir):
 def op2_nearest_vectors(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return multi_index.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+_ODD_TEXT = "</s>[INST] ok [/INST]"
+_DELTA_CHARS = 400
+
+
+def conversation_log(turns: DataFrame) -> DataFrame:
+    """The log that would lead to the given turns: every text is streamed in pieces.
+
+    Rows of one conversation get their numbers by turn (then role and text), so
+    repeated turns stay apart. An assistant turn has a first draft that is
+    regenerated before its pieces come.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = turns.select("conv_id", F.row_number().over(order).cast("long").alias("turn"), "role", text.alias("text"))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)).cast("int"), F.lit(_DELTA_CHARS)),
+        lambda i: F.struct(
+            F.lit("delta").alias("kind"), F.substring(F.col("text"), i + 1, F.lit(_DELTA_CHARS)).alias("text")
+        ),
+    )
+
+    def event(kind, said):
+        return F.array(F.struct(F.lit(kind).alias("kind"), F.lit(said).alias("text")))
+
+    start = F.when(
+        F.col("role") == "assistant",
+        F.concat(event("message", "a first draft"), event("regenerate", "")),
+    ).otherwise(event("message", ""))
+    rows = rows.select("conv_id", "turn", "role", F.posexplode(F.concat(start, pieces)).alias("i", "e"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        (F.col("turn") * 1_000_000 + F.col("i")).alias("seq"),
+        "e.kind",
+        "role",
+        "e.text",
+    )
+
+
+def _said(alias):
+    return f"coalesce({alias}.role, '') AS role, coalesce({alias}.text, '') AS text"
+
+
+_OP6_SQL = f"""
+WITH turns AS (
+  SELECT c.conv_id, c.turn, {_said('c')} FROM conversations c
+  UNION ALL SELECT -1, 0, 'user', '{_ODD_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{_ODD_TEXT}'),
+sized AS (
+  SELECT *, length(regexp_replace(text, '([\\\\<>\\[])', '\\\\\\1', 'g')) AS shown,
+         length(regexp_replace(role, '([\\\\<>\\[])', '\\\\\\1', 'g')) AS marked FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(shown + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 2 * marked + 9 END)::BIGINT
+    AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Digests of every conversation, from its formatted string and loss spans alone."""
+    schema = (
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long,"
+        " loss_sha256 string, formatted_chars long"
+    )
+
+    def digest(batches):
+        for batch in batches:
+            rows = []
+            for conv, whole, loss in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                turns = list(chat.parse(whole))
+                every = hashlib.sha256()
+                for role, text, _ in turns:
+                    every.update(f"{role}\n{text}\n".encode())
+                masked = [chat.unescape(whole[s["start"] : s["end"]]) for s in loss]
+                learned = "".join(masked)
+                rows.append(
+                    (
+                        conv,
+                        len(turns),
+                        every.hexdigest(),
+                        len(learned),
+                        hashlib.sha256(learned.encode()).hexdigest(),
+                        len(whole),
+                    )
+                )
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
+
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(digest, schema)
+
+
+@query(_OP6_SQL)
+def op6_chat_format(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql(
+        f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{_ODD_TEXT}' AS text"
+        f" UNION ALL SELECT -1L, 1L, 'assistant', '{_ODD_TEXT}'"
+    )
+    return read_back(chat.format_log(conversation_log(turns.unionByName(odd))))
