@@ -176,17 +176,21 @@ def regions(found: Index, small: np.ndarray, at_text: np.ndarray, how: Settings)
     return text, window, band * (2 * how.edits(found.sizes[window]) + 1)
 
 
-def align(pattern: np.ndarray, texts: np.ndarray, free: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def align(
+    pattern: np.ndarray, texts: np.ndarray, anchor: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Fewest edits of `pattern` (n, m) against parts of `texts` (n, m + width - 1), and where they end.
 
     Row i of the table holds, for offsets 0..width-1, the cost of the first i
-    pattern characters ending at place i + offset. With `free` a match may start
-    at any offset, else at place 0.
+    pattern characters ending at place i + offset. A match may start anywhere,
+    or at place `anchor` only.
     """
     n, m = pattern.shape
     width = texts.shape[1] - m + 1
     steps = np.arange(width)
-    cost = np.zeros((n, width), np.int32) if free else np.broadcast_to(steps, (n, width)).astype(np.int32)
+    cost = np.zeros((n, width), np.int32)
+    if anchor is not None:
+        cost[:] = np.where(steps >= anchor, steps - anchor, 2 * (m + width))
     for i in range(m):
         kept = cost + (texts[:, i : i + width] != pattern[:, i : i + 1])
         kept[:, :-1] = np.minimum(kept[:, :-1], cost[:, 1:] + 1)
@@ -215,18 +219,18 @@ def verified(found: Index, small, at_text, text, window, diagonal, how: Settings
             good = np.flatnonzero(edits <= k)
             if not len(good):
                 continue
-            # The start: align backwards from the end.
-            back = stop[good][:, None] - 1 - np.arange(m + k)
-            ahead = np.where(back >= 0, texts[good][np.arange(len(good))[:, None], np.maximum(back, 0)], 0)
-            _, length = align(patterns[good][:, ::-1], ahead, free=False) if k else (
-                None,
-                np.full(len(good), m),
+            # The start: align backwards from the end, with room for k on both sides.
+            back = stop[good][:, None] - 1 + k - np.arange(m + 2 * k)
+            real = (back >= 0) & (back < stop[good][:, None])
+            ahead = np.where(
+                real, texts[good][np.arange(len(good))[:, None], np.where(real, back, 0)], np.uint32(0)
             )
-            for g, ln in zip(good, length, strict=True):
+            _, reach = align(patterns[good][:, ::-1], ahead, anchor=k)
+            for g, length in zip(good, reach - k, strict=True):
                 j = part[g]
                 finish = int(base[g] + stop[g])
-                # Fewer pattern characters than places may be matched; the start stays in the text.
-                out.append((int(text[j]), int(window[j]), max(finish - int(ln), 0), finish, int(edits[g])))
+                start = max(finish - int(length), 0)
+                out.append((int(text[j]), int(window[j]), start, finish, int(edits[g])))
     return out
 
 
