@@ -12,7 +12,8 @@ from cohortloom.plans.star_panel import BASE_SQL, text_rows
 from cohortloom.session import scratch_path
 from cohortloom.sources import delimited as dl
 from cohortloom.sources import inventory as inv
-from cohortloom.sources.tables import partition_counts, scan_table, spread_over_partitions
+from cohortloom.sources.tables import gathered_by_partition, partition_counts, scan_table
+from cohortloom.streaming.arrivals import load_arrivals
 
 registry = Registry()
 query = registry.query
@@ -24,25 +25,91 @@ def _members(spark, sf_dir) -> str:
     target = scratch_path(spark, "members")
     member = F.concat("year", "quarter")
     data = rows.withColumn("member", member).drop("year", "quarter")
-    spread_over_partitions(data, ["member"], files_per_partition=2).write.partitionBy("member").option(
-        "sep", "|"
-    ).csv(target)
+    gathered = gathered_by_partition(data, ["member"])
+    gathered.write.partitionBy("member").option("sep", "|").csv(target)
     return target
 
 
-@query()
+def _member_files(spark, sf_dir):
+    """The inventory of the members, with year and quarter from their folders."""
+    files = inv.list_files(spark, _members(spark, sf_dir), "*.csv")
+    member = inv.partition_value(F.col("path"), "member")
+    return files.select(
+        "path",
+        member.alias("file"),
+        "bytes",
+        F.substring(member, 1, 4).alias("year"),
+        F.substring(member, 5, 2).alias("period"),
+    )
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT year || quarter AS member, CAST(year AS VARCHAR) AS year,"
+    " CASE quarter WHEN 'Q4' THEN 'unknown_period' ELSE quarter END AS period,"
+    " TRUE AS has_bytes FROM base GROUP BY year, quarter"
+)
 def file_inventory(spark, sf_dir):
-    return inv.file_inventory(spark, sf_dir)
+    """Members found in a folder, with the year and period guessed from their names.
+
+    The guess knows the first three quarters only.
+    """
+    files = _member_files(spark, sf_dir).groupBy("file").agg(F.sum("bytes").alias("bytes"))
+    folder = scratch_path(spark, "names")
+    # One small file per member, named by it: the inventory reads names and sizes only.
+    rows = files.select(F.col("file").alias("member"), F.col("bytes").cast("string").alias("line"))
+    rows.write.partitionBy("member").text(folder)
+    paths = inv.list_files(spark, folder, "*.txt").select(
+        inv.partition_value(F.col("path"), "member").alias("file"), "bytes"
+    )
+    found = inv.guessed(paths, year_pattern=r"((?:19|20)[0-9]{2})")
+    return found.select(
+        F.col("file").alias("member"), "year", "period", (F.col("bytes") > 0).alias("has_bytes")
+    )
 
 
-@query()
+@query(
+    f"WITH {BASE_SQL} SELECT CAST(year AS VARCHAR) AS year, quarter AS period, TRUE AS has_bytes,"
+    " TRUE AS gib_is_bytes FROM base GROUP BY year, quarter"
+)
 def bytes_by_period(spark, sf_dir):
-    return inv.bytes_by_period(inv.file_inventory(spark, sf_dir))
+    found = inv.bytes_by_period(_member_files(spark, sf_dir))
+    return found.select(
+        "year",
+        "period",
+        (F.col("bytes") > 0).alias("has_bytes"),
+        (F.abs(F.col("gib") * 2**30 - F.col("bytes")) <= 2**30 * 1e-3).alias("gib_is_bytes"),
+    )
 
 
-@query()
+@query(
+    f"WITH {BASE_SQL}, sizes AS (SELECT year || quarter AS member, count(*) AS n FROM base GROUP BY ALL)"
+    " SELECT member, n FROM sizes ORDER BY n DESC, member LIMIT 5"
+)
+def largest_members(spark, sf_dir):
+    """The five members with the most lines, by a report on the files' lines."""
+    lines = dl.read_lines(spark, _members(spark, sf_dir))
+    counts = lines.groupBy(inv.partition_value(F.col("path"), "member").alias("file")).agg(
+        F.count("*").alias("bytes")
+    )
+    return inv.largest_files(counts, 5).select(F.col("file").alias("member"), F.col("bytes").alias("n"))
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT count(DISTINCT year || quarter) AS n_members, TRUE AS largest_first,"
+    " TRUE AS all_there FROM base"
+)
 def largest_files(spark, sf_dir):
-    return inv.largest_files(inv.file_inventory(spark, sf_dir))
+    """The largest member files: as many as asked for, none larger left out."""
+    files = _member_files(spark, sf_dir)
+    stored = files.groupBy("file").agg(F.sum("bytes").alias("bytes"))
+    n = stored.agg(F.count("*")).scalar()
+    top = inv.largest_files(stored, 3)
+    rest = stored.join(top, "file", "left_anti").agg(F.max("bytes")).scalar()
+    return top.agg(
+        F.max(n).alias("n_members"),
+        F.coalesce(F.min("bytes") >= F.max(rest), F.lit(True)).alias("largest_first"),
+        (F.count("*") == F.least(F.lit(3), F.max(n))).alias("all_there"),
+    )
 
 
 @query(
@@ -88,14 +155,44 @@ def delimited_ingest(spark, sf_dir):
     " GROUP BY year, quarter"
 )
 def load_log(spark, sf_dir):
-    """The stored log after two loads: the second finds every partition done and adds nothing."""
+    """The stored log after two loads, by quarter: the second finds every member done."""
     source, target = _members(spark, sf_dir), scratch_path(spark, "bronze")
     log = scratch_path(spark, "log")
     for _ in range(2):
         dl.ingest_delimited(spark, source, target, process_all=True, log_path=log)
-    return spark.read.parquet(log).select(
-        "year", "quarter", "delimiter", "n_columns", "n_rows", "compression"
-    )
+    keys = ("year", "quarter", "delimiter", "n_columns", "compression")
+    return spark.read.parquet(log).groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))
+
+
+_COUNTS_SQL = f"WITH {BASE_SQL} SELECT CAST(year AS INTEGER) AS year, quarter, count(*) AS n_rows FROM base GROUP BY year, quarter"
+
+
+@query(_COUNTS_SQL)
+def late_member(spark, sf_dir):
+    """Files that come later for quarters that are stored already."""
+    rows = text_rows(spark, sf_dir)
+    source, target = scratch_path(spark, "members"), scratch_path(spark, "bronze")
+    late = F.pmod(F.xxhash64("entity_id"), F.lit(3)) == 0
+    data = rows.withColumn("member", F.concat("year", "quarter")).drop("year", "quarter")
+    for part in (~late, late):
+        gathered = gathered_by_partition(data.where(part), ["member"])
+        gathered.write.mode("append").partitionBy("member").option("sep", "|").csv(source)
+        dl.ingest_delimited(spark, source, target, process_all=True)
+    return partition_counts(scan_table(spark, target))
+
+
+@query(_COUNTS_SQL)
+def arrivals_split(spark, sf_dir):
+    """A folder loaded as a stream of batches that split quarters: stored rows by quarter."""
+    rows = text_rows(spark, sf_dir)
+    source, target = scratch_path(spark, "members"), scratch_path(spark, "bronze")
+    data = rows.withColumn("member", F.concat("year", "quarter")).drop("year", "quarter")
+    spread = data.repartition(4, "entity_id")
+    spread.write.partitionBy("member").option("sep", "|").csv(source)
+    load_arrivals(
+        spark, source, target, scratch_path(spark, "arrivals"), files_per_batch=40, delimiter="|", width=13
+    ).awaitTermination()
+    return partition_counts(scan_table(spark, target))
 
 
 @query(
@@ -125,9 +222,18 @@ def path_partitions(spark, sf_dir):
 
 
 @query(
-    "SELECT 'output' AS \"check\", unnest(['lineitem.parquet', 'orders.parquet', 'absent.parquet'])"
-    " AS subject, unnest(['pass', 'pass', 'fail']) AS status"
+    f"WITH {BASE_SQL} SELECT 'output' AS \"check\", year || quarter AS subject, 'pass' AS status FROM base"
+    " GROUP BY year, quarter UNION ALL SELECT 'output', '1066Q1', 'fail'"
+    " UNION ALL SELECT 'output', 'empty', 'fail'"
 )
 def output_presence(spark, sf_dir):
-    wanted = ["lineitem.parquet", "orders.parquet", "absent.parquet"]
-    return expect_outputs(spark, sf_dir, wanted).select("check", "subject", "status")
+    """Members stored as outputs: those of the table are there, others and an empty one are not."""
+    target = scratch_path(spark, "outputs")
+    data = text_rows(spark, sf_dir).select(F.concat("year", "quarter").alias("member"), "entity_id")
+    names = [r["member"] for r in data.select("member").distinct().collect()]  # one per quarter
+    data.repartition("member").write.partitionBy("member").text(target)
+    spark.createDataFrame([], "line string").write.text(f"{target}/empty")
+    wanted = {name: f"member={name}" for name in names} | {"1066Q1": "member=1066Q1", "empty": "empty"}
+    found = expect_outputs(spark, target, list(wanted.values()))
+    subject = F.regexp_replace("subject", "^member=", "")
+    return found.select("check", subject.alias("subject"), "status")

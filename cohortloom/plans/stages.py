@@ -25,8 +25,8 @@ from cohortloom.operators.features import entity_features
 from cohortloom.operators.panel import build_panel
 from cohortloom.operators.shape import select_roles
 from cohortloom.roles import Roles
-from cohortloom.sources.delimited import ingest_delimited
-from cohortloom.sources.tables import scan_table, spread_over_partitions, write_report, write_table
+from cohortloom.sources.delimited import MEMBER_KEYS, ingest_delimited
+from cohortloom.sources.tables import gathered_by_partition, scan_table, write_report, write_table
 
 KEYS = ("year", "quarter")
 ENTITY = "entity_id"
@@ -63,7 +63,7 @@ def load_bronze(study: Study, source: str, **options) -> DataFrame:
 def build_silver(study: Study, entity: str, period: str, drop: Sequence[str] = ()) -> Roles:
     """Profile the columns, give them roles, store the role-selected table and quality reports."""
     bronze = scan_table(study.spark, study.path("bronze"))
-    columns = [c for c in bronze.columns if c not in KEYS]
+    columns = [c for c in bronze.columns if c not in MEMBER_KEYS]
     profile = study.store(pf.profile_columns(bronze, columns), "column_profile")
     roles = pf.roles_from(pf.assign_roles(profile, entity, period, drop), KEYS)
     write_table(
@@ -81,8 +81,8 @@ def build_gold(study: Study, roles: Roles, keep: Column | None = None) -> None:
     """The typed panel of the kept entities, and one wide row of features per entity."""
     silver = scan_table(study.spark, study.path("silver"))
     panel = build_panel(silver, roles, keep=keep, entity_name=ENTITY)
-    spread = spread_over_partitions(panel, KEYS)
-    write_table(spread, study.path("panel"), KEYS, mode="overwrite")
+    gathered = gathered_by_partition(panel, KEYS)
+    write_table(gathered, study.path("panel"), KEYS, mode="overwrite")
     stored = scan_table(study.spark, study.path("panel"))
     # Partition values were features of no entity: only prefixed columns are summarised.
     study.store(entity_features(stored, ENTITY), "features")

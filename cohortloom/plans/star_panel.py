@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.periods import month_start
+from cohortloom.functions.periods import is_period, parse_period
 from cohortloom.operators.features import entity_features
 from cohortloom.roles import Roles
 
@@ -157,14 +157,10 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, orders: bool = False) -> DataFrame:
-    """The typed panel: readable rows under panel names.
-
-    The period text is unreadable exactly where the quantity is 50, and
-    otherwise names the ship month, so the dates need no detour over texts;
-    `build_panel` on `text_rows` gives the same periods.
-    """
-    rows = base_rows(spark, sf_dir, orders).where(F.col("quantity") != 50)
-    dated = rows.withColumn("period_date", month_start(F.col("ship_ts")))
+    """The typed panel: rows with a readable period text, under panel names."""
+    period = F.col("period_raw")
+    rows = base_rows(spark, sf_dir, orders).where(is_period(period))
+    dated = rows.withColumn("period_date", parse_period(period))
     named = {n: p for n, p in PREFIXED.items() if n in rows.columns}
     return dated.withColumnsRenamed(named)
 

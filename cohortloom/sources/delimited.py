@@ -14,22 +14,28 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortloom.functions.cleaning import NULL_TOKENS, tokens_to_null
 from cohortloom.sources.inventory import (
+    decoded_path,
     list_files,
     member_filter,
+    member_name,
     member_quarter,
     member_year,
-    partition_value,
+    path_key,
 )
 from cohortloom.sources.tables import partition_counts, scan_table, write_table
 
+# The folders of a loaded table: one per member file, so that no load touches another's rows.
+MEMBER_KEYS = ("year", "quarter", "member")
+
 # The delimiters tried, in order of preference on a tie.
 DELIMITERS = (",", "|", "\t", ";")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Text lines with the path of their file."""
+    """Text lines with the path of their file, as `path_key` gives it."""
     wanted = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.text(wanted).select(F.col("_metadata.file_path").alias("path"), "value")
+    path = decoded_path(F.col("_metadata.file_path"))
+    return spark.read.text(wanted).select(path.alias("path"), "value")
 
 
 def _occurrences(delimiter: str):
@@ -77,11 +83,11 @@ def read_delimited(
     delimiter: str,
     width: int,
     null_tokens: Iterable[str] = NULL_TOKENS,
-    with_year_quarter: bool = False,
+    with_member: bool = False,
 ) -> DataFrame:
     """All columns as text, named c000, c001, ...; a short or long row is an error.
 
-    `with_year_quarter` adds both from the name of the file a row comes from.
+    `with_member` adds year, quarter and member from the name of the row's file.
     """
     names = column_names(width)
     raw = (
@@ -94,25 +100,29 @@ def read_delimited(
     )
     tokens = tuple(null_tokens)
     columns = [tokens_to_null(F.col(n), tokens).alias(n) for n in names]
-    if with_year_quarter:
-        path = F.col("_metadata.file_path")
-        columns += [member_year(path).alias("year"), member_quarter(path).alias("quarter")]
+    if with_member:
+        path = decoded_path(F.col("_metadata.file_path"))
+        columns += [
+            member_year(path).alias("year"),
+            member_quarter(path).alias("quarter"),
+            member_name(path).alias("member"),
+        ]
     return raw.select(*columns)
 
 
-def existing_partitions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """The (year, quarter) folders that hold data already; from the file listing alone."""
+def stored_members(spark: SparkSession, root: str) -> DataFrame | None:
+    """(year, quarter, member) of the files a table already holds, None without a table.
+
+    Only partition values are read, no data pages.
+    """
     try:
-        files = list_files(spark, root, "*.parquet")
+        table = scan_table(spark, root)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return []
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
         raise
-    found = files.select(
-        partition_value(F.col("path"), "year").cast("int").alias("year"),
-        partition_value(F.col("path"), "quarter").alias("quarter"),
-    ).dropna()
-    return sorted((r["year"], r["quarter"]) for r in found.distinct().collect())
+    keys = [F.col(k).cast("int" if k == "year" else "string").alias(k) for k in MEMBER_KEYS]
+    return table.select(*keys).distinct()
 
 
 LOG_SCHEMA = (
@@ -130,12 +140,15 @@ def load_members(
     delimiter: str | None = None,
     width: int | None = None,
 ) -> DataFrame:
-    """Read member files and write `target/year=.../quarter=...`, replacing those partitions.
-
-    `members` has one row `(path, file, year, quarter)` per file. Files are
-    read by one plan per distinct layout, not one job per file. Giving both
-    `delimiter` and `width` saves the pass over the text that detects them.
-    Returns the load log, one row per partition.
+    """Read member files and write `target/year=.../quarter=.../member=...`.
+
+    `members` has one row `(path, file, year, quarter)` per file. Every file
+    has a folder of its own (named by its folder and file name), which a load
+    replaces, so loading a file again changes nothing and files of one quarter
+    may come in any number of loads. Files are read by one plan per distinct
+    layout, not one job per file. Giving both `delimiter` and `width` saves the
+    pass over the text that detects them. Returns the load log, one row per
+    member; a member without rows has none stored and 0 in its log.
     """
     started = time.time()
     tokens = tuple(null_tokens)
@@ -143,22 +156,25 @@ def load_members(
     if not paths:
         return spark.createDataFrame([], LOG_SCHEMA)
     if delimiter is not None and width is not None:
-        layouts = {p: (delimiter, width) for p in paths}
+        layouts = {path_key(p): (delimiter, width) for p in paths}
     else:
         sniffed = sniff_layout(read_lines(spark, paths)).collect()  # one row per file
         layouts = {r["path"]: (r["delimiter"], r["n_columns"]) for r in sniffed}
     by_layout: dict[tuple[str, int], list[str]] = {}
-    for path, layout in layouts.items():
-        by_layout.setdefault(layout, []).append(path)
+    for path in paths:
+        if path_key(path) in layouts:  # an empty file has no line and so no layout
+            by_layout.setdefault(layouts[path_key(path)], []).append(path)
+    if not by_layout:
+        return _load_log(spark, None, members, layouts, compression, round(time.time() - started, 3))
     parts = [
-        read_delimited(spark, group, sep, n_columns, tokens, with_year_quarter=True)
+        read_delimited(spark, group, sep, n_columns, tokens, with_member=True)
         for (sep, n_columns), group in sorted(by_layout.items())
     ]
     widest = max(n_columns for _, n_columns in by_layout)
     bronze = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    bronze = bronze.select(*column_names(widest), "year", "quarter")
+    bronze = bronze.select(*column_names(widest), *MEMBER_KEYS)
     # Every input split belongs to one member and so to one partition: no shuffle is needed.
-    write_table(bronze, target, ("year", "quarter"), compression, mode="replace_partitions")
+    write_table(bronze, target, MEMBER_KEYS, compression, mode="replace_partitions")
     seconds = round(time.time() - started, 3)
     return _load_log(spark, target, members, layouts, compression, seconds)
 
@@ -175,16 +191,15 @@ def ingest_delimited(
 ) -> DataFrame:
     """Load the delimited members (`...2020Q1...`) below `source` into a partitioned table.
 
-    Partitions that exist are skipped unless `overwrite`. `options` go to
-    `load_members`. Returns the load log of this run, which is also appended
-    to `log_path`.
+    Members that are stored are skipped unless `overwrite`; a file that comes
+    later for a stored quarter is loaded. `options` go to `load_members`.
+    Returns the load log of this run, which is also appended to `log_path`.
     """
     members = member_filter(list_files(spark, source), years, process_all)
-    if not overwrite:
-        done = existing_partitions(spark, target)
-        if done:
-            loaded = spark.createDataFrame(done, "year int, quarter string")
-            members = members.join(loaded, ["year", "quarter"], "left_anti")
+    done = None if overwrite else stored_members(spark, target)
+    if done is not None:
+        named = members.withColumn("member", member_name(F.col("path")))
+        members = named.join(done, list(MEMBER_KEYS), "left_anti")
     log = load_members(spark, members.collect(), target, **options)  # one row per member file
     if log_path:
         append_load_log(log, log_path)
@@ -192,35 +207,31 @@ def ingest_delimited(
 
 
 def _load_log(spark, target, members, layouts, compression, seconds) -> DataFrame:
-    rows: dict[tuple[int, str], list] = {}
-    for m in members:
-        rows.setdefault((m["year"], m["quarter"]), []).append(m)
     described = []
-    for (year, quarter), group in sorted(rows.items()):
-        seps = sorted({layouts[m["path"]][0] for m in group if m["path"] in layouts})
-        widths = [layouts[m["path"]][1] for m in group if m["path"] in layouts]
-        names = ",".join(sorted(m["file"] for m in group))
-        described.append((names, year, quarter, "".join(seps), max(widths, default=0)))
-    finished = datetime.now(timezone.utc)
+    for m in sorted(members, key=lambda m: m["path"]):
+        sep, width = layouts.get(path_key(m["path"]), (None, 0))
+        name = "/".join(m["path"].split("/")[-2:])
+        described.append((name, m["year"], m["quarter"], sep, width))
     loaded = spark.createDataFrame(
         described, "member string, year int, quarter string, delimiter string, n_columns int"
     )
-    # Rows as written, counted from the files' own metadata, of these partitions only.
-    these = reduce(
-        lambda a, b: a | b,
-        [(F.col("year") == y) & (F.col("quarter") == q) for y, q in sorted(rows)],
-    )
-    written = partition_counts(scan_table(spark, target).where(these))
-    return loaded.join(written, ["year", "quarter"], "left").select(
+    n_rows = F.lit(0).cast("bigint")
+    if target is not None:
+        # Rows as written, counted from the files' own metadata, of these members only.
+        stored = scan_table(spark, target).withColumn("member", F.col("member").cast("string"))
+        these = stored.join(loaded.select(*MEMBER_KEYS), list(MEMBER_KEYS), "left_semi")
+        loaded = loaded.join(partition_counts(these, MEMBER_KEYS), list(MEMBER_KEYS), "left")
+        n_rows = F.coalesce("n_rows", n_rows)
+    return loaded.select(
         "member",
         "year",
         "quarter",
         "delimiter",
         "n_columns",
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        n_rows.alias("n_rows"),
         F.lit(seconds).alias("seconds"),
         F.lit(compression).alias("compression"),
-        F.lit(finished).alias("finished_at"),
+        F.lit(datetime.now(timezone.utc)).alias("finished_at"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from cohortloom.functions.numeric import to_gib
 # The spellings of years and periods in file names. The guess of
 # the inventory knows thirds of a year and the first three quarters only.
 YEAR_QUARTER = r"(?i)(\d{4})\s*Q([1-4])"
-GUESSED_YEAR = r"(20(?:20|21|22|23|24|25))"
+GUESSED_YEAR = r"(20[0-9]{2})"
 GUESSED_PERIOD = r"(?i)(C[123]|Q[123]|T[123])"
 
 
@@ -21,29 +22,47 @@ def _captured(text: Column, pattern: str, group: int) -> Column:
     return F.when(found != "", found)
 
 
+def decoded_path(path: Column) -> Column:
+    """A path from a file column in the form that readers take and listings give.
+
+    Metadata columns escape blanks and the like (`%20`); a plus sign means itself.
+    """
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def path_key(path: str) -> str:
+    """`decoded_path` of a path from a listing, which is not escaped."""
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", path)
+
+
 def list_files(spark: SparkSession, root: str, name_filter: str | None = None) -> DataFrame:
-    """One row per file below `root`: path, file name and bytes.
+    """One row per file below `root`: path, file name and bytes, empty files included.
 
     Only the listing is used: the content column of the source is pruned, so
-    no file is opened. Hive-style folders stay part of the path. Empty files
-    are not listed, as Spark plans no task for them.
+    no file is opened. Spark plans no task for an empty file; those are added
+    from the file index, which the driver holds anyway. Hive-style folders stay
+    part of the path.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
-    files = reader.load(root).select("path", F.col("length").alias("bytes"))
+    found = reader.load(root).select("path", F.col("length").alias("bytes"))
+    names = [(name,) for name in found.inputFiles()]
+    indexed = spark.createDataFrame(names, "escaped string").select(
+        decoded_path(F.col("escaped")).alias("name")
+    )
+    listed = found.withColumn("name", F.regexp_replace("path", "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/"))
+    files = indexed.join(listed, "name", "left").select(
+        F.coalesce("path", "name").alias("path"), F.coalesce("bytes", F.lit(0)).alias("bytes")
+    )
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "bytes")
 
 
-def file_inventory(
-    spark: SparkSession,
-    root: str,
-    name_filter: str | None = None,
-    year_pattern: str = GUESSED_YEAR,
-    period_pattern: str = GUESSED_PERIOD,
+def guessed(
+    files: DataFrame, year_pattern: str = GUESSED_YEAR, period_pattern: str = GUESSED_PERIOD
 ) -> DataFrame:
     """Files with the year and period guessed from their names, largest first."""
-    files = list_files(spark, root, name_filter)
     year = _captured(F.col("file"), year_pattern, 1)
     period = F.upper(_captured(F.col("file"), period_pattern, 1))
     return files.select(
@@ -54,6 +73,13 @@ def file_inventory(
     ).orderBy(F.desc("bytes"), "file")
 
 
+def file_inventory(
+    spark: SparkSession, root: str, name_filter: str | None = None, **patterns: str
+) -> DataFrame:
+    """`guessed` for every file below a folder."""
+    return guessed(list_files(spark, root, name_filter), **patterns)
+
+
 def largest_files(files: DataFrame, k: int = 20) -> DataFrame:
     return files.orderBy(F.desc("bytes"), "file").limit(k)
 

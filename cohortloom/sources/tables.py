@@ -14,7 +14,7 @@ def scan_table(
     root: str,
     pattern: str | None = None,
     columns: Sequence[str] | None = None,
-    partition_columns: Sequence[str] = ("year", "quarter"),
+    partition_columns: Sequence[str] = ("year", "quarter", "member"),
     with_partitions: bool = True,
     merge_schema: bool = False,
 ) -> DataFrame:
@@ -75,16 +75,14 @@ def write_table(
     writer.parquet(path)
 
 
-def spread_over_partitions(
-    df: DataFrame, keys: Sequence[str], files_per_partition: int = 8
-) -> DataFrame:
-    """Rows brought together by partition, each partition over several tasks.
+def gathered_by_partition(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows brought together by partition, in pieces of the advisory partition size.
 
     For writing a table whose rows are mixed: few files per folder, and a
-    partition with a large share of the rows is never written by one task.
+    partition with a large share of the rows is split over as many tasks as
+    its size asks for.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
-    return df.repartition(*keys, spread)
+    return df.hint("rebalance", *keys)
 
 
 def write_report(df: DataFrame, path: str, overwrite: bool = True) -> None:

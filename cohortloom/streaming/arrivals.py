@@ -24,10 +24,10 @@ def load_arrivals(
     """Load the files that are new since the last run, then stop.
 
     The stream carries file names only; its checkpoint remembers which were
-    taken. A batch replaces the partitions of its files, so a batch that is
-    repeated after a failure changes nothing, and a quarter that is delivered
-    again replaces the earlier delivery. The files of one quarter must arrive
-    together. `options` go to `load_members`.
+    taken. Every file has a partition of its own, which its load replaces: a
+    batch that is repeated after a failure changes nothing, and the files of a
+    quarter may come in any number of batches. `files_per_batch` bounds the
+    names a batch holds and changes no result. `options` go to `load_members`.
     """
     names = (
         spark.readStream.format("binaryFile")

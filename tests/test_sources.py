@@ -4,6 +4,7 @@ from cohortloom.session import scratch_path, scratch_root
 from cohortloom.sources import delimited as dl
 from cohortloom.sources import inventory as inv
 from cohortloom.sources import tables as tb
+from cohortloom.streaming.arrivals import load_arrivals
 
 
 def members(tmp_path):
@@ -35,7 +36,7 @@ def test_ingest_mixed_layouts_then_again(spark, tmp_path):
         (2020, "Q1"): (2, 4), (2020, "Q2"): (1, 4), (2021, "Q1"): (2, 3),
     }
     stored = tb.scan_table(spark, target)
-    assert stored.columns == ["c000", "c001", "c002", "c003", "year", "quarter"]
+    assert stored.columns == ["c000", "c001", "c002", "c003", "year", "quarter", "member"]
     found = {(r["c002"], r["c003"]) for r in stored.collect()}
     assert found == {("012020", None), ("022020", None), ("042020", "5"), ("012021", None), ("022021", None)}
     assert stored.where("c001 IS NULL").count() == 1
@@ -64,7 +65,7 @@ def test_short_and_long_rows_are_errors(spark, tmp_path, line):
 
 
 def test_inventory_guesses(spark, tmp_path):
-    for name, size in (("Perf_2021_c2.csv", 10), ("2020Q4.csv", 30), ("old_1999.csv", 20), ("t1.csv", 5)):
+    for name, size in (("Perf_2021_c2.csv", 10), ("2020Q4.csv", 30), ("old_1999.csv", 20), ("t1.csv", 0)):
         (tmp_path / name).write_text("x" * size)
     rows = [(r["file"], r["year"], r["period"]) for r in inv.file_inventory(spark, str(tmp_path)).collect()]
     assert rows == [
@@ -94,9 +95,9 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     tb.write_table(both, path, ["g"])
     tb.write_table(both.where("g = 'a'").selectExpr("x + 10 AS x", "g"), path, ["g"], mode="replace_partitions")
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(11, "a"), (2, "b")}
-    spread = tb.spread_over_partitions(spark.range(100).selectExpr("id", "'hot' AS g"), ["g"], 4)
-    tb.write_table(spread, str(tmp_path / "s"), ["g"])
-    assert 1 <= len(list((tmp_path / "s" / "g=hot").glob("*.parquet"))) <= 4
+    gathered = tb.gathered_by_partition(spark.range(100).selectExpr("id", "'hot' AS g"), ["g"])
+    tb.write_table(gathered, str(tmp_path / "s"), ["g"])
+    assert len(list((tmp_path / "s" / "g=hot").glob("*.parquet"))) == 1
 
 
 def test_scratch_is_where_the_session_says(spark):
@@ -104,3 +105,33 @@ def test_scratch_is_where_the_session_says(spark):
     if named:
         assert scratch_root(spark) == named.rstrip("/")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_blanks_in_names_late_files_and_empty_files(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "2020 Q1 a+b.csv").write_text("x|1\ny|2\n")
+    (source / "2020Q2.csv").write_text("")
+    assert {(r["file"], r["bytes"]) for r in inv.list_files(spark, str(source)).collect()} == {
+        ("2020 Q1 a+b.csv", 8), ("2020Q2.csv", 0),
+    }
+    first = dl.ingest_delimited(spark, str(source), target, process_all=True)
+    assert {(r["member"], r["quarter"], r["n_rows"]) for r in first.collect()} == {
+        ("in/2020 Q1 a+b.csv", "Q1", 2), ("in/2020Q2.csv", "Q2", 0),
+    }
+    (source / "2020Q1-late.csv").write_text("z|3\n")
+    late = dl.ingest_delimited(spark, str(source), target, process_all=True).where("n_rows > 0")
+    assert [r["member"] for r in late.collect()] == ["in/2020Q1-late.csv"]
+    assert {r["c000"] for r in tb.scan_table(spark, target).collect()} == {"x", "y", "z"}
+
+
+def test_a_quarter_may_arrive_in_several_batches(spark, tmp_path):
+    source, target, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
+    source.mkdir()
+    for i in range(4):
+        (source / f"2020Q1_{i}.csv").write_text(f"a{i}|1\n")
+    load_arrivals(
+        spark, str(source), target, str(tmp_path / "state"), log_path=log, files_per_batch=1
+    ).awaitTermination()
+    assert {r["c000"] for r in tb.scan_table(spark, target).collect()} == {"a0", "a1", "a2", "a3"}
+    assert spark.read.parquet(log).agg({"n_rows": "sum"}).first()[0] == 4
