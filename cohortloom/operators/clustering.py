@@ -7,22 +7,21 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.evidence import zscore_matrix
 from cohortloom.operators.latent import assemble
 from cohortloom.operators.sampling import sample_rows
-from cohortloom.operators.silhouette import silhouette
 from cohortloom.session import materialise
 
-# The range of k, sample sizes and restarts of the sweeps.
+# The range of k and the seed of the sweeps.
 K_RANGE = range(2, 13)
-FIT_ROWS = 30_000
-SILHOUETTE_ROWS = 10_000
 SEED = 42
 
 
@@ -40,9 +39,9 @@ def standard_vectors(df: DataFrame, entity: str, space: str | Sequence[str]) ->
     if not isinstance(space, str):
         return assemble(standardise(df, entity, space), space).select(entity, "vector")
     raw = df.select(entity, array_to_vector(F.col(space).cast("array<double>")).alias("_raw"))
+    n = raw.agg(F.count("_raw")).first()[0]  # reads no more than the fit below does
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
     model = scaler.fit(raw)  # divides by the sample sd
-    n = raw.count()
     stretch = Vectors.dense([math.sqrt(n / (n - 1)) if n > 1 else 1.0] * model.mean.size)
     to_population = ElementwiseProduct(
         scalingVec=stretch, inputCol="_scaled", outputCol="vector"
@@ -121,40 +120,33 @@ def silhouette_sweep(
     columns: str | Sequence[str],
     space: str = "space",
     ks: Iterable[int] = K_RANGE,
-    fit_n: int | None = FIT_ROWS,
-    sil_n: int | None = SILHOUETTE_ROWS,
     n_init: int = 3,
     seed: int = SEED,
+    fit_n: int | None = None,
 ) -> DataFrame:
-    """Rows `(space, k, silhouette, cost)`: one k-means fit per k, scored by exact silhouette.
+    """Rows `(space, k, silhouette, cost, n_scored)`: one k-means fit per k over all rows.
 
-    Fits use `fit_n` sampled rows and scores `sil_n` of those; None means all
-    rows. All k are scored together, so distances are computed once.
+    The silhouette uses squared Euclidean distances, whose mean over a cluster
+    follows from the cluster's sums: every row is scored, in one pass per k.
+    `fit_n` fits and scores that many sampled rows instead.
     """
     spark = df.sparkSession
     chosen = df.select(entity, *([columns] if isinstance(columns, str) else columns))
     if fit_n is not None:
         chosen = sample_rows(chosen, fit_n, [entity], seed)
-    vectors = standard_vectors(chosen, entity, columns).persist()
-    try:
-        scored = vectors if sil_n is None else sample_rows(vectors, sil_n, [entity], seed + 1)
-        costs = {}
-        for k in ks:
-            model = fit_kmeans(vectors, k, n_init, seed)
-            costs[f"k{k}"] = (k, float(model.summary.trainingCost))
-            scored = label_with(model, scored, f"k{k}")
-        points = scored.select(entity, vector_to_array("vector").alias("x"), *costs)
-        points = materialise(points, "sweep")
-    finally:
-        vectors.unpersist()
-    report = spark.createDataFrame(
-        [(name, k, cost) for name, (k, cost) in costs.items()],
-        "labelling string, k int, cost double",
-    )
-    return (
-        silhouette(points, entity, "x", list(costs))
-        .join(report, "labelling")
-        .select(F.lit(space).alias("space"), "k", "silhouette", "cost")
+    vectors = materialise(standard_vectors(chosen, entity, columns), "sweep")
+    n_scored = vectors.count()
+    evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="prediction")
+    rows = []
+    for k in ks:
+        model = fit_kmeans(vectors, k, n_init, seed)
+        labelled = label_with(model, vectors, "prediction")
+        # One cluster only, as with equal rows, has no silhouette.
+        several = sum(size > 0 for size in model.summary.clusterSizes) > 1
+        score = evaluator.evaluate(labelled) if several else 0.0
+        rows.append((space, k, score, float(model.summary.trainingCost), n_scored))
+    return spark.createDataFrame(
+        rows, "space string, k int, silhouette double, cost double, n_scored bigint"
     )
 
 
@@ -211,10 +203,36 @@ def bisecting_sweep(
 
 def centroids_of(df: DataFrame, features: str, label: str) -> DataFrame:
     """Mean vector of each cluster of an array column: rows `(cluster, center)`."""
-    long = df.select(F.col(label).alias("cluster"), F.posexplode(features).alias("i", "x"))
-    means = long.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
-    return means.groupBy("cluster").agg(F.transform(ordered, lambda c: c["m"]).alias("center"))
+    vector = array_to_vector(F.col(features).cast("array<double>"))
+    means = df.groupBy(F.col(label).alias("cluster")).agg(Summarizer.mean(vector).alias("m"))
+    return means.select("cluster", vector_to_array("m").alias("center"))
+
+
+def centroid_silhouette(df: DataFrame, features: str, label: str) -> DataFrame:
+    """`df` with `own`, `other` and `silhouette`: Euclidean distances to centroids.
+
+    own is the distance to the mean of the row's cluster, other that to the
+    nearest other mean, and the silhouette (other - own) / max(own, other), 0
+    where both are 0 or the cluster is the only one. Linear in the rows; the
+    exact form over all pairs is in `silhouette`.
+    """
+    table = centroids_of(df, features, label)
+    table = table.agg(F.collect_list(F.struct("cluster", "center")).alias("c")).scalar()
+    x = F.col(features)
+
+    def distance(center):
+        gaps = F.zip_with(x, center, lambda a, b: (a - b) * (a - b))
+        return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g))
+
+    def to(wanted):
+        picked = F.filter("_centroids", wanted)
+        return F.array_min(F.transform(picked, lambda c: distance(c["center"])))
+
+    found = df.withColumn("_centroids", table)
+    found = found.withColumn("own", to(lambda c: c["cluster"] == F.col(label)))
+    found = found.withColumn("other", to(lambda c: c["cluster"] != F.col(label)))
+    width = F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other"))
+    return found.withColumn("silhouette", F.coalesce(width, F.lit(0.0))).drop("_centroids")
 
 
 def nearest_centroid(

@@ -65,6 +65,32 @@ def silhouette_squared(spark, sf_dir):
     )
 
 
+_CENTROID_SQL = (
+    "WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,"
+    " generate_subscripts(embedding, 1) AS i FROM embeddings),"
+    " centers AS (SELECT label AS cluster, i, avg(x) AS m FROM cells GROUP BY ALL),"
+    " distances AS (SELECT vec_id, label, cluster, sqrt(sum((x - m) * (x - m))) AS d"
+    " FROM cells JOIN centers USING (i) GROUP BY ALL),"
+    " widths AS (SELECT vec_id, label, min(d) FILTER (cluster = label) AS own,"
+    " min(d) FILTER (cluster <> label) AS other FROM distances GROUP BY ALL)"
+)
+
+
+@query(
+    f"{_CENTROID_SQL} SELECT vec_id, label, {rounded_sql('own')} AS own, {rounded_sql('other')} AS other,"
+    f" {rounded_sql('coalesce((other - own) / nullif(greatest(own, other), 0), 0)')} AS silhouette FROM widths"
+)
+def silhouette_to_centroids(spark, sf_dir):
+    """The silhouette of every row from Euclidean distances to centroids, in linear time."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")
+    )
+    found = cl.centroid_silhouette(rows, "embedding", "label")
+    return found.select(
+        "vec_id", "label", *(rounded(c).alias(c) for c in ("own", "other", "silhouette"))
+    )
+
+
 @query(
     "WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,"
     " generate_subscripts(embedding, 1) AS i FROM embeddings),"
@@ -88,20 +114,20 @@ def kmeans_sweep(spark, sf_dir):
     """Every k from 2 to 12 over the standardised mean features of all entities."""
     features = numeric_features(spark, sf_dir).select("entity_id", *VARIED)
     return cl.silhouette_sweep(
-        materialise(features, "features"), "entity_id", VARIED, "means", fit_n=None, n_init=1
+        materialise(features, "features"), "entity_id", VARIED, "means", n_init=1
     )
 
 
 @query(
     f"WITH {FEATURES_SQL} SELECT CAST(3 AS BIGINT) AS n_k, CAST(2 AS INTEGER) AS lowest,"
     " CAST(4 AS INTEGER) AS highest, TRUE AS in_range, TRUE AS cost_falls,"
-    " count(*) AS n_entities FROM features"
+    " count(*) AS n_scored, count(*) AS n_entities FROM features"
 )
 def sweep_consistency(spark, sf_dir):
     """What must hold for any sweep: every k scored within [-1, 1], at falling cost."""
     features = numeric_features(spark, sf_dir).select("entity_id", *VARIED)
     stored = materialise(features, "features")
-    report = cl.silhouette_sweep(stored, "entity_id", VARIED, "s", range(2, 5), fit_n=None, n_init=2)
+    report = cl.silhouette_sweep(stored, "entity_id", VARIED, "s", range(2, 5), n_init=2)
     costs = F.transform(F.array_sort(F.collect_list(F.struct("k", "cost"))), lambda s: s["cost"])
     return report.agg(
         F.count("*").alias("n_k"),
@@ -109,6 +135,7 @@ def sweep_consistency(spark, sf_dir):
         F.max("k").alias("highest"),
         F.min(F.col("silhouette").between(-1.0, 1.0)).alias("in_range"),
         (costs == F.sort_array(F.collect_list("cost"), asc=False)).alias("cost_falls"),
+        F.min("n_scored").alias("n_scored"),
     ).withColumn("n_entities", stored.agg(F.count("*")).scalar())
 
 
@@ -179,7 +206,7 @@ def _spaces(spark, sf_dir):
 
 @query()
 def space_compare(spark, sf_dir):
-    """Four spaces, each swept over k on a sample of fixed size."""
+    """Four spaces, each swept over k on all rows."""
     return cl.compare_spaces(_spaces(spark, sf_dir), "entity_id", ks=range(2, 6), n_init=1)
 
 
@@ -198,6 +225,29 @@ def bisecting_sweep(spark, sf_dir):
     )
 
 
+@query(
+    f"WITH {FEATURES_SQL} SELECT CAST(4 AS BIGINT) AS n_k, TRUE AS all_leaves, TRUE AS cost_falls,"
+    " TRUE AS below_total, count(*) AS n_entities FROM features"
+)
+def bisecting_consistency(spark, sf_dir):
+    """What must hold down the tree: k leaves, a falling cost, below that of one cluster.
+
+    In a standardised space one cluster costs rows times varied columns.
+    """
+    features = numeric_features(spark, sf_dir).select("entity_id", *VARIED)
+    stored = materialise(features, "features")
+    report = cl.bisecting_sweep(stored, "entity_id", VARIED, ks=range(2, 6))
+    n = stored.agg(F.count("*")).scalar()
+    costs = F.transform(F.array_sort(F.collect_list(F.struct("k", "cost"))), lambda s: s["cost"])
+    return report.agg(
+        F.count("*").alias("n_k"),
+        F.min(F.col("k") == F.col("n_leaves")).alias("all_leaves"),
+        (costs == F.sort_array(F.collect_list("cost"), asc=False)).alias("cost_falls"),
+        (F.max("cost") <= F.max(n) * len(VARIED)).alias("below_total"),
+        F.max(n).alias("n_entities"),
+    )
+
+
 @query()
 def embedding_clusters(spark, sf_dir):
     """Embeddings standardised, swept over k, and labelled with the best k."""

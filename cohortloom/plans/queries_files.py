@@ -8,11 +8,20 @@ from cohortloom.functions.cleaning import to_double
 from cohortloom.operators.expectations import expect_outputs
 from cohortloom.operators.shape import with_partition_columns
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
-from cohortloom.plans.star_panel import BASE_SQL, text_rows
+from cohortloom.plans.star_panel import BASE_SQL, table, text_rows
 from cohortloom.session import scratch_path
 from cohortloom.sources import delimited as dl
 from cohortloom.sources import inventory as inv
-from cohortloom.sources.tables import gathered_by_partition, partition_counts, scan_table
+from cohortloom.sources.tables import (
+    gathered_by_partition,
+    partition_counts,
+    read_report,
+    require_columns,
+    scan_table,
+    table_schema,
+    write_report,
+    write_table,
+)
 from cohortloom.streaming.arrivals import load_arrivals
 
 registry = Registry()
@@ -77,7 +86,7 @@ def bytes_by_period(spark, sf_dir):
         "year",
         "period",
         (F.col("bytes") > 0).alias("has_bytes"),
-        (F.abs(F.col("gib") * 2**30 - F.col("bytes")) <= 2**30 * 1e-3).alias("gib_is_bytes"),
+        (F.abs(F.col("gib") * 2**30 - F.col("bytes")) <= 2**30 * 0.00501).alias("gib_is_bytes"),
     )
 
 
@@ -221,6 +230,84 @@ def path_partitions(spark, sf_dir):
     return partition_counts(with_partition_columns(rows))
 
 
+_STORED_SQL = (
+    f"WITH {BASE_SQL} SELECT CAST(year AS INTEGER) AS year, quarter, count(*) AS n_rows,"
+    " count(DISTINCT entity_id) AS n_entities,"
+    f" {rounded_sql('sum(CAST(price AS DECIMAL(18, 2)))', 2)} AS price FROM base GROUP BY year, quarter"
+)
+
+
+def _stored_summary(rows):
+    price = F.sum(to_double(F.col("price")).cast("decimal(18,2)"))
+    return rows.groupBy("year", "quarter").agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("entity_id").alias("n_entities"),
+        rounded(price, 2).alias("price"),
+    )
+
+
+@query(_STORED_SQL)
+def recompressed_table(spark, sf_dir):
+    """A snappy table written again with zstd, partition by partition, and read back."""
+    rows = text_rows(spark, sf_dir)
+    first, second = scratch_path(spark, "snappy"), scratch_path(spark, "zstd")
+    write_table(rows, first, ("year", "quarter"), "snappy")
+    gathered = gathered_by_partition(scan_table(spark, first), ["year", "quarter"])
+    write_table(gathered, second, ("year", "quarter"), "zstd")
+    return _stored_summary(scan_table(spark, second))
+
+
+@query(_STORED_SQL)
+def replaced_partitions(spark, sf_dir):
+    """A table of which every second quarter is written once more: nothing doubles."""
+    rows = text_rows(spark, sf_dir)
+    target = scratch_path(spark, "result")
+    write_table(gathered_by_partition(rows, ["year", "quarter"]), target, ("year", "quarter"))
+    again = rows.where(F.col("quarter").isin("Q1", "Q3"))
+    write_table(again, target, ("year", "quarter"), mode="replace_partitions")
+    return _stored_summary(scan_table(spark, target))
+
+
+@query(_STORED_SQL)
+def report_round_trip(spark, sf_dir):
+    """A result as a CSV report and back, with the types given and with the types inferred."""
+    target = scratch_path(spark, "report")
+    write_report(_stored_summary(text_rows(spark, sf_dir)), target)
+    schema = "year int, quarter string, n_rows bigint, n_entities bigint, price double"
+    given, inferred = read_report(spark, target, schema), read_report(spark, target)
+    same = [F.col(c).cast(t).alias(c) for c, t in given.dtypes]
+    return given.intersect(inferred.select(*same))
+
+
+@query(
+    "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS \"column\""
+    " FROM (DESCRIBE SELECT * FROM lineitem)"
+)
+def schema_listing(spark, sf_dir):
+    rows = require_columns(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
+    return table_schema(rows).select("position", "column")
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT TRUE AS a_file_for_each, TRUE AS bytes_add_up, TRUE AS columns_known,"
+    " count(DISTINCT year || quarter) AS n_quarters FROM base"
+)
+def manifest_totals(spark, sf_dir):
+    """The summary of a manifest against its own rows and against the listing."""
+    target = scratch_path(spark, "bronze")
+    dl.ingest_delimited(spark, _members(spark, sf_dir), target, process_all=True)
+    listed = inv.table_manifest(spark, target)
+    sizes = inv.list_files(spark, target, "*.parquet").agg(F.sum("bytes")).scalar()
+    quarters = listed.select("year", "quarter").distinct().agg(F.count("*")).scalar()
+    columns = table_schema(scan_table(spark, target)).count()
+    return inv.manifest_summary(listed).select(
+        (F.col("files") >= quarters).alias("a_file_for_each"),
+        (F.col("bytes") == sizes).alias("bytes_add_up"),
+        F.lit(columns == 16).alias("columns_known"),
+        quarters.alias("n_quarters"),
+    )
+
+
 @query(
     f"WITH {BASE_SQL} SELECT 'output' AS \"check\", year || quarter AS subject, 'pass' AS status FROM base"
     " GROUP BY year, quarter UNION ALL SELECT 'output', '1066Q1', 'fail'"

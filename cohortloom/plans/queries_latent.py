@@ -14,7 +14,6 @@ from cohortloom.functions.names import feature_family
 from cohortloom.operators import evidence as ev
 from cohortloom.operators import latent as lat
 from cohortloom.operators.profiles import top_loadings
-from cohortloom.operators.sampling import sample_rows
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
 from cohortloom.plans.star_panel import (
     BASES,
@@ -351,6 +350,23 @@ def pca_compare(spark, sf_dir):
     return lat.compare_feature_sets(features, "entity_id", sets)
 
 
+@query(
+    "SELECT unnest(['all_families', 'means']) AS model, unnest([16, 4])::BIGINT AS n_components,"
+    " TRUE AS whole, TRUE AS falling, (SELECT count(DISTINCT l_partkey) > 0 FROM lineitem) AS has_rows"
+)
+def pca_compare_consistency(spark, sf_dir):
+    """What must hold for every feature set: shares that fall and add up to one."""
+    features = stored_features(spark, sf_dir)
+    sets = {"means": VARIED, "all_families": _ALL_VARIED}
+    report = lat.compare_feature_sets(features, "entity_id", sets)
+    shares = F.transform(F.array_sort(F.collect_list(F.struct("component", "pve"))), lambda s: s["pve"])
+    return report.groupBy("model").agg(
+        F.count("*").alias("n_components"),
+        (F.abs(F.max("pve_cum") - 1) < 1e-9).alias("whole"),
+        (shares == F.sort_array(F.collect_list("pve"), asc=False)).alias("falling"),
+    ).withColumn("has_rows", features.agg(F.count("*") > 0).scalar())
+
+
 @query()
 def varimax_scores(spark, sf_dir):
     z = stored_zscores(spark, sf_dir, _ALL_VARIED)
@@ -383,10 +399,9 @@ def _embedding_columns(spark, sf_dir):
 
 @query()
 def latent_projection(spark, sf_dir):
-    """Three components of the embeddings of a fixed-size sample, with their shares."""
+    """Three components of all embeddings, with their shares."""
     wide, names = _embedding_columns(spark, sf_dir)
-    chosen = sample_rows(wide, 30_000, ["vec_id"])
-    z = materialise(ev.zscore_matrix(chosen, "vec_id", names), "latent")
+    z = materialise(ev.zscore_matrix(wide, "vec_id", names), "latent")
     fit = lat.fit_pca(z, [f"z_{n}" for n in names], k=3)
     shares = [F.lit(float(r)).alias(f"pve_{i + 1}") for i, r in enumerate(fit.ratios)]
     return lat.pca_scores(z, "vec_id", fit).select("*", *shares)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.cleaning import to_double, to_int
 from cohortloom.functions.periods import parse_period
 from cohortloom.operators.panel import build_panel, restrict_to
-from cohortloom.operators.sampling import in_sample, sample_entities, sample_rows, split_rows
+from cohortloom.operators.sampling import in_sample, sample_entities, sample_parameters, sample_rows, split_rows
 from cohortloom.operators.shape import align_schema, as_strings, rename_positional
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
 from cohortloom.plans.star_panel import (
@@ -127,6 +127,16 @@ def entity_sample_hash(spark, sf_dir):
     return sample_entities(rows, "entity_id", portable=True)
 
 
+@query(
+    f"WITH {BASE_SQL} SELECT 10000 AS buckets, 150 AS threshold, CAST(0.015 AS DOUBLE) AS fraction,"
+    f" count(*) AS n_entities FROM ({_SAMPLE_SQL})"
+)
+def entity_sample_record(spark, sf_dir):
+    """The record that is stored with a sample of entities."""
+    rows = text_rows(spark, sf_dir).select("entity_id")
+    return sample_parameters(sample_entities(rows, "entity_id", portable=True), 10_000, 150)
+
+
 _SEMI_SQL = (
     f"WITH {PANEL_SQL}, ids AS ({_SAMPLE_SQL}) SELECT entity_id, count(*) AS n_months,"
     " min(period_date) AS min_period, max(period_date) AS max_period"

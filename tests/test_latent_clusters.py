@@ -174,7 +174,7 @@ def test_sweep_finds_the_three_blobs(blobs):
     assert cl.winner(report) == ("s", 3)
     costs = [r["cost"] for r in report.orderBy("k").collect()]
     assert costs == sorted(costs, reverse=True)
-    sampled = cl.silhouette_sweep(blobs, "id", ["x", "y"], ks=[3], fit_n=90, sil_n=50, n_init=1)
+    sampled = cl.silhouette_sweep(blobs, "id", ["x", "y"], ks=[3], fit_n=90, n_init=1)
     assert -1 <= sampled.first()["silhouette"] <= 1
 
 
