@@ -28,7 +28,11 @@ _LINE_STEP = 4294967296
 
 
 def plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    """Lower case, runs of ASCII white space one blank; most lines need no replacement."""
+    odd = line.contains("  ")
+    for c in "\t\r\f\v":
+        odd |= line.contains(c)
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
 def _order(doc: Column, line: Column) -> Column:
@@ -37,29 +41,35 @@ def _order(doc: Column, line: Column) -> Column:
 
 
 def _line_table(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """The first occurrence of every plain line in its row: id, line_no, two hashes, half keys."""
+    """All plain lines: h1, h2 (two hashes), id, line_no, and up to four half keys."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.filter("id IS NOT NULL AND text IS NOT NULL")
     lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", plain(F.col("line"))).filter("line <> ''")
+    lines = lines.filter(F.col("line").rlike(r"\S"))
+    lines = lines.select("id", "line_no", plain(F.col("line")).alias("line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    lines = lines.select("id", "line_no", "line", n.cast("int").alias("n_words"))
+    lines = lines.select("id", "line_no", "line", n.cast("int").alias("n"))
+    long = F.col("n") >= min_words - 1
 
-    def half(size: str, side: int) -> Column:
+    def half(size: str, side: int, when: Column) -> Column:
         part = F.expr(f"substring_index(line, ' ', {'-' if side else ''}({size}))")
-        return F.xxhash64(F.lit(side), part)
+        return F.when(long & when, F.xxhash64(F.lit(side), part))
 
-    # The shorter line of a pair has n or n - 1 words.
-    sizes = [f"CAST(ceil((n_words - {less}) / 2.0) AS INT)" for less in (1, 2)]
-    halves = F.array_distinct(F.array(*(half(s, side) for s in sizes for side in (0, 1))))
+    # The shorter line of a pair has n or n - 1 words; for odd n both halves are alike.
+    even = F.col("n") % 2 == 0
     return lines.select(
-        "id",
-        "line_no",
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit("again"), "line").alias("h2"),
-        F.when(F.col("n_words") >= min_words - 1, halves).alias("halves"),
-        F.lit(min_words).alias("min_words"),
-    ).drop("min_words")
+        "id",
+        "line_no",
+        half("n DIV 2", 0, F.lit(True)).alias("half_a"),
+        half("n DIV 2", 1, F.lit(True)).alias("half_b"),
+        half("n DIV 2 - 1", 0, even).alias("half_c"),
+        half("n DIV 2 - 1", 1, even).alias("half_d"),
+    )
+
+
+_HALVES = ("half_a", "half_b", "half_c", "half_d")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _near_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier line within one edit."""
-    halves = classes.filter("halves IS NOT NULL").select("h1", "ord", F.explode("halves").alias("half"))
+    halves = classes.select("h1", F.explode(F.array_compact(F.array(*_HALVES))).alias("half"))
     groups = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
     able = halves.join(groups.filter("low <> high").select("half"), "half", "left_semi")
     able = able.select("h1").distinct()
@@ -131,14 +141,21 @@ def _near_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, min_
     )
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     source = source.filter("text IS NOT NULL")
-    found = source.join(wanted, "id")
-    found = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    found = found.select(
-        F.col("w.h1").alias("h1"),
-        F.col("w.h2").alias("h2"),
-        F.col("w.ord").alias("ord"),
-        plain(F.get("lines", F.col("w.line_no"))).alias("line"),
+    # Only short lists are hashed; texts need no sort. The array of lines stays a
+    # column of its own, so a text is split once and not once for every line.
+    found = source.join(wanted.hint("shuffle_hash"), "id")
+    found = found.select(F.split("text", "\n").alias("lines"), "wanted")
+    taken = F.transform(
+        "wanted",
+        lambda w: F.struct(
+            w["h1"].alias("h1"),
+            w["h2"].alias("h2"),
+            w["ord"].alias("ord"),
+            F.when(w["line_no"] < F.size("lines"), F.get("lines", w["line_no"])).alias("line"),
+        ),
     )
+    found = found.select(F.explode(taken).alias("w")).select("w.h1", "w.h2", "w.ord", "w.line")
+    found = found.withColumn("line", plain(F.col("line")))
     # A repeated id may have other texts: the line must be the listed one.
     found = found.filter((F.xxhash64("line") == F.col("h1")) & F.col("line").isNotNull())
     found = found.dropDuplicates(["h1", "h2"])
@@ -177,17 +194,19 @@ def duplicate_lines(
     treated alike, as one document.
     """
     lines = materialise(_line_table(docs, key, text, min_words), "lines")
-    per_doc = lines.groupBy("h1", "h2", "id").agg(
-        F.min("line_no").alias("line_no"), F.first("halves").alias("halves"), F.count("*").alias("n")
-    )
-    classes = per_doc.groupBy("h1", "h2").agg(
-        F.min("id").alias("id"),
-        F.min_by("line_no", "id").alias("line_no"),
+    # Few columns and plain numbers: equal lines are combined before the shuffle.
+    classes = lines.groupBy("h1", "h2").agg(
         F.min(_order(F.col("id"), F.col("line_no"))).alias("ord"),
-        F.first("halves").alias("halves"),
-        F.sum("n").alias("n"),
+        F.count("*").alias("n"),
+        *(F.min(c).alias(c) for c in _HALVES),
+    )
+    line_no = F.pmod(F.col("ord"), F.lit(_LINE_STEP).cast("decimal(11,0)"))
+    classes = materialise(classes, "line-classes").withColumns(
+        {
+            "line_no": line_no.cast("int"),
+            "id": ((F.col("ord") - line_no) / F.lit(_LINE_STEP)).cast("long"),
+        }
     )
-    classes = materialise(classes, "line-classes")
     near = _near_classes(classes, docs, key, text, min_words).withColumn("near", F.lit(True))
     touched = (
         classes.select("h1", "h2", F.col("id").alias("first_id"), F.col("line_no").alias("first_no"), "n")
@@ -220,11 +239,14 @@ def dedup_lines(
     gone = duplicate_lines(docs, key, text, min_words).select(
         F.col("id").alias("__id"), F.col("line_nos").alias("__gone")
     )
-    joined = rows.join(gone, F.col(key).cast("long") == F.col("__id"), "left")
-    lines = F.split(F.col(text), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
-    changed = F.when(F.col("__gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)
+    own = F.col(key).cast("long") == F.col("__id")
+    joined = rows.join(gone.hint("shuffle_hash"), own, "left")
+    # As above: one split per text.
+    lines = F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n"))
+    joined = joined.select(*rows.columns, "__gone", lines.alias("__lines"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(rest, lambda i: F.get("__lines", i)), "\n")
+    changed = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(kept)
     none = F.array().cast("array<int>")
     return joined.select(
         *(changed.alias(c) if c == text else F.col(c) for c in rows.columns),
