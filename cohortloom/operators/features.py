@@ -84,5 +84,11 @@ def entity_features(
     if not coded:
         return numbers
     codes = code_features(panel, entity, period, coded).withColumnRenamed(entity, "_entity")
-    joined = numbers.join(codes, F.col(entity).eqNullSafe(F.col("_entity")), "left")
+    key, other = F.col(entity), F.col("_entity")
+    # A plain equality keeps the partitioning of both aggregates: no further shuffle.
+    # Rows without an entity are one row on either side and are joined apart; their
+    # filter reaches the scan.
+    named = numbers.where(key.isNotNull()).join(codes, key == other, "left")
+    nameless = numbers.where(key.isNull()).join(codes.where(other.isNull()), F.lit(True), "left")
+    joined = named.unionByName(nameless)
     return joined.drop("_entity").fillna(0, [f"nunique_{c}" for c in coded])

@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators.tidy import MAX_BROADCAST_ROWS, broadcast_rows, tidy_aggregate
+from cohortloom.operators.tidy import tidy_aggregate
+from cohortloom.session import materialise
 
 SKETCH_ACCURACY = 10_000
-# Up to this many groups their brackets are sent to every task.
-MAX_BROADCAST_GROUPS = MAX_BROADCAST_ROWS
 
 
 def _brackets(data: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
@@ -59,11 +58,8 @@ def exact_quantiles(
     data = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     keys = {c: f"_key_{c}" for c in by}
     brackets = _brackets(data, by, probs).withColumnsRenamed(keys)
-    # Few groups: their brackets are broadcast, so that no row moves. Many
-    # groups: a join that Spark plans by size.
-    few = brackets.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    if len(few) <= MAX_BROADCAST_GROUPS:
-        brackets = broadcast_rows(df, few, brackets.schema)
+    # Stored, so that the sketch is made once and the join is planned by its size.
+    brackets = materialise(brackets, "brackets")
     if by:
         same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
         matched = data.join(brackets, same).drop(*keys.values())
@@ -93,13 +89,17 @@ def exact_quantiles(
     low_rank, high_rank = F.floor(rank), F.ceil(rank)
     low = F.min(F.when(F.col("_end") > low_rank, F.col("_v")))
     high = F.min(F.when(F.col("_end") > high_rank, F.col("_v")))
-    picked = ranked.groupBy(*by, "prob", "_n").agg(low.alias("_low"), high.alias("_high"))
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_end"))), F.lit(0))
+    picked = ranked.groupBy(*by, "prob", "_n").agg(
+        low.alias("_low"), high.alias("_high"), below.alias("_below"), F.max("_end").alias("_top")
+    )
     step = F.col("_high") - F.col("_low")
+    found = F.col("_low") + step * (rank - low_rank)
+    # A rank outside its bracket would give a wrong number without a sign of it.
+    inside = (F.col("_below") <= low_rank) & (F.col("_top") > high_rank)
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
     return picked.select(
-        *by,
-        "prob",
-        F.col("_n").alias("n"),
-        (F.col("_low") + step * (rank - low_rank)).alias("value"),
+        *by, "prob", F.col("_n").alias("n"), F.when(inside, found).otherwise(missed).alias("value")
     )
 
 
@@ -158,9 +158,7 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     x = F.col(value)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     within = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
-    few = quartiles.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    if len(few) <= MAX_BROADCAST_GROUPS:
-        quartiles = broadcast_rows(df, few, quartiles.schema)
+    quartiles = materialise(quartiles, "quartiles")
     return (
         df.where(x.isNotNull())
         .join(quartiles, by)

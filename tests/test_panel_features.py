@@ -159,3 +159,13 @@ def test_imputation_keeps_other_columns(spark):
     filled = ev.impute_mean(table, ["mean_num_a"])
     assert filled.columns == table.columns
     assert filled.where("entity_id = '0'").first()["mean_num_a"] == pytest.approx((1 + 2 + 3 + 5 + 6 + 7) / 6)
+
+
+def test_rows_without_an_entity_are_one_row(spark):
+    rows = [("a", 1, 2.0, "x"), (None, 1, 3.0, "y"), (None, 2, 5.0, "z"), ("b", 1, None, None)]
+    panel = spark.createDataFrame(rows, "entity_id string, period_date int, num_v double, cat_c string")
+    found = {r["entity_id"]: r for r in entity_features(panel).collect()}
+    assert set(found) == {"a", "b", None}
+    assert (found[None]["n_months"], found[None]["mean_num_v"]) == (2, 4.0)
+    assert (found[None]["first_cat_c"], found[None]["last_cat_c"], found[None]["nunique_cat_c"]) == ("y", "z", 2)
+    assert found["b"]["nunique_cat_c"] == 0 and found["b"]["first_cat_c"] is None

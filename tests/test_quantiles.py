@@ -33,8 +33,21 @@ def test_large_skewed_groups_equal_numpy(spark):
         assert r["value"] == pytest.approx(np.quantile(xs, r["prob"]), rel=1e-12)
 
 
-def test_more_groups_than_may_be_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(q, "MAX_BROADCAST_GROUPS", 10)
+def test_a_rank_outside_its_bracket_is_an_error(spark, monkeypatch):
+    right = q._brackets
+
+    def shifted(data, by, probs):
+        moved = F.transform("_targets", lambda t: t.withField("low", t["low"] + 1e4).withField("high", t["high"] + 1e4))
+        return right(data, by, probs).withColumn("_targets", moved)
+
+    table = spark.range(60_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    assert q.exact_quantiles(table, "x", [0.5], ["g"]).count() == 2
+    monkeypatch.setattr(q, "_brackets", shifted)
+    with pytest.raises(Exception, match="outside its bracket"):
+        q.exact_quantiles(table, "x", [0.5], ["g"]).collect()
+
+
+def test_many_groups(spark):
     table = spark.range(3000).select((F.col("id") % 100).alias("g"), F.col("id").alias("x"))
     found = {r["g"]: r["value"] for r in q.exact_quantiles(table, "x", [0.5], ["g"]).collect()}
     assert len(found) == 100
