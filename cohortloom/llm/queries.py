@@ -22,7 +22,7 @@ from cohortloom.llm import (
     secrets,
     toxicity,
 )
-from cohortloom.llm.sampling import bounded_sample, remainder
+from cohortloom.llm.sampling import bounded_sample, fingerprints, remainder
 from cohortloom.plans.registry import Registry
 
 registry = Registry()
@@ -36,8 +36,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def language_model(docs: DataFrame, train_on=None, per_label: int = 500) -> language.LanguageModel:
     """Fitted on about `per_label` rows of every language, of at most 20,000 characters."""
     rows = docs if train_on is None else docs.filter(train_on)
-    sample = bounded_sample(rows, F.col("lang"), "doc_id", "text", per_label, 20_000)
-    return language.train(sample)
+    known = rows.filter(F.col("lang").isNotNull())
+    marked = fingerprints(known.withColumn("label", F.col("lang")), "doc_id", "text", "label")
+    return language.train(bounded_sample(marked, known, "doc_id", "text", per_label, 20_000))
 
 
 @query()
@@ -57,11 +58,15 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, train_on) -> toxicity.Tox
     map the logit to a probability.
     """
     train_ids = labels.filter(train_on).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    seen = docs.filter(train_on).join(train_ids, "doc_id", "left").select("doc_id", "text", "toxic")
+    seen = docs.filter(train_on)
     counted = train_ids.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = min(max(counted or 0.0, 1e-3), 0.5)
     group = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").otherwise("open")
-    sample = bounded_sample(seen, group, "doc_id", "text", 4000, 20_000)
+    marked = fingerprints(seen, "doc_id", "text").join(
+        train_ids.withColumnRenamed("doc_id", "key"), "key", "left"
+    )
+    marked = marked.withColumn("label", group)
+    sample = bounded_sample(marked, seen, "doc_id", "text", 4000, 20_000)
     names = np.array(sample.column("label").to_pylist(), dtype=object)
     texts = sample.column("text").combine_chunks()
     held = np.arange(len(names)) % 4 == 0
