@@ -98,7 +98,28 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
-@query()
+_OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    END AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM sets
+  UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, c.component_id, c.component_id = sets.doc_id AS kept
+FROM sets JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = sets.doc_id
+"""
+
+
+@query(_OP3_SQL)
 def op3_near_duplicates(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, how=near_dedup.Settings(words=3, percent=85, rows=8))
@@ -117,28 +138,90 @@ def op5_decontaminate(spark, sf_dir):
     return found.select("doc_id", F.inline("leaks"))
 
 
-@query()
+_OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+plain AS (SELECT *, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS line FROM lines),
+classes AS (
+  SELECT line, min(row(doc_id, i)) AS o, string_split(line, ' ') AS w FROM plain WHERE line <> '' GROUP BY line),
+variants AS (
+  SELECT line, o, q, len(w) AS n, array_to_string(list_concat(w[:q - 1], w[q + 1:]), ' ') AS v
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS q FROM classes WHERE len(w) >= 8)),
+firsts AS (SELECT v, q, min(o) AS o FROM variants GROUP BY v, q),
+near AS (
+  SELECT a.line FROM variants a JOIN firsts f ON a.v = f.v AND a.q = f.q AND f.o < a.o
+  UNION SELECT a.line FROM variants a JOIN classes b ON a.v = b.line AND b.o < a.o
+  UNION SELECT b.line FROM variants a JOIN classes b ON a.v = b.line AND a.o < b.o),
+marked AS (
+  SELECT p.doc_id, p.i, p.raw, coalesce(c.o <> row(p.doc_id, p.i) OR c.line IN (SELECT line FROM near), FALSE) AS gone
+  FROM plain p LEFT JOIN classes c ON p.line = c.line),
+rest AS (
+  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
+    coalesce(string_agg(i, ',' ORDER BY i) FILTER (gone), '') AS removed_lines FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(r.text), 0)::BIGINT AS n_chars, sha256(coalesce(r.text, '')) AS text_sha256,
+  coalesce(r.removed_lines, '') AS removed_lines FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id
+"""
+
+
+@query(_OP4_SQL)
 def op4_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup_lines(docs)
     return found.select(
         "doc_id",
-        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
         F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
     )
 
 
-@query()
+_OP9_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS k
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS parts
+        FROM documents WHERE text IS NOT NULL)),
+worded AS (
+  SELECT *, list_filter(string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM pieces WHERE piece <> ''),
+numbered AS (
+  SELECT *, sum(CASE WHEN len(words) > 0 OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS u
+  FROM worded),
+units AS (
+  SELECT doc_id, u, string_agg(piece, '' ORDER BY k) AS piece, flatten(list(words ORDER BY k)) AS words
+  FROM numbered GROUP BY doc_id, u),
+placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY u) AS finish,
+    len(words) > 0 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, u) > 1 AS again FROM units),
+runs AS (
+  SELECT *, u - row_number() OVER (PARTITION BY doc_id, again ORDER BY u) AS run FROM placed),
+sized AS (
+  SELECT *, again AND sum(len(words)) OVER (PARTITION BY doc_id, again, run) >= 25 AS gone FROM runs),
+spans AS (
+  SELECT doc_id, min(finish - length(piece)) AS first, max(finish) AS last FROM sized WHERE gone
+  GROUP BY doc_id, run),
+listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(first || ':' || last, ',' ORDER BY first) AS removed FROM spans
+  GROUP BY doc_id),
+rest AS (
+  SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY u) FILTER (NOT gone), '') AS text FROM sized GROUP BY doc_id)
+SELECT d.doc_id, coalesce(l.n, 0)::BIGINT AS n_removed, coalesce(l.removed, '') AS removed_spans,
+  coalesce(length(r.text), 0)::BIGINT AS n_chars, sha256(coalesce(r.text, '')) AS text_sha256
+FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
+
+@query(_OP9_SQL)
 def op9_repeated_passages(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = repeats.drop_repeats(docs)
     spans = F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select(
         "doc_id",
-        F.size("removed_spans").alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_removed"),
         F.array_join(spans, ",").alias("removed_spans"),
-        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
 
