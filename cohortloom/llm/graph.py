@@ -42,9 +42,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = (
-            both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        ).distinct()
+        large = both.filter("v > u").join(low, "u")
+        large = large.select(F.col("v").alias("u"), F.col("low").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = small.filter("u <> v").union(low.select("u", F.col("low").alias("v"))).distinct()

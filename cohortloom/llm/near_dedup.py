@@ -14,11 +14,12 @@ sets agree in a register about as often as their Jaccard similarity.
    a band of n classes gives n - 1 pairs).
 3. A joint likelihood estimate of the similarity from the registers drops pairs
    far below the threshold; the rest are confirmed on their full shingle sets.
-4. Confirmed links are joined to components. A band may still hold texts of
-   different components. Two such texts can only reach the threshold if they
-   share one of their rarest shingles (of n shingles the n - ceil(t * n) + 1
-   rarest), so those pairs are candidates too and are confirmed alike. Texts
-   that share a frequent passage but nothing rare make no pair.
+4. Confirmed links are joined to components. Texts of different components that
+   meet in a band may still be linked. Two such texts can only reach the
+   threshold if they share one of their rarest shingles, near enough to the
+   front of both lists (the prefix and position bounds of exact set-similarity
+   joins). Those pairs are confirmed too, so no link of a band is left out,
+   and texts that share a frequent passage but nothing rare make no pair.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingle length in words, similarity in hundredths, and registers per band.
+    """Shingle length in words, similarity in hundredths, registers per band.
 
     The number of bands is the smallest with which a pair at exactly the
     threshold shares no band with a probability below one in a million.
@@ -250,18 +251,34 @@ def _rare_pairs(open_ids: DataFrame, texts: DataFrame, how: Settings) -> DataFra
     ranked = ranked.withColumn("place", F.row_number().over(order)).join(open_ids, "id")
     needed = F.floor((F.col("n") * how.percent + 99) / 100)
     rare = ranked.filter((F.col("place") <= F.col("n") - needed + 1) & (F.col("often") > 1))
-    rare = materialise(rare.select("shingle", "id", "n", "component"), "rare-shingles")
+    rare = materialise(rare.select("shingle", "id", "n", "place", "component"), "rare-shingles")
     one, two = rare.alias("x"), rare.alias("y")
+    # Of the first shingle they share, no more than these can still be common.
+    ahead = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     pairs = one.join(
         two,
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("x.id") < F.col("y.id"))
-        & (100 * F.least("x.n", "y.n") >= how.percent * F.greatest("x.n", "y.n")),
+        & (100 * F.least("x.n", "y.n") >= how.percent * F.greatest("x.n", "y.n"))
+        & ((100 + how.percent) * ahead >= how.percent * (F.col("x.n") + F.col("y.n"))),
     )
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _open_bands(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, n, component) of the bands in which different components still meet."""
+    parts = components(links)
+    placed = shared.select("key", "id", "n").join(parts, "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    placed = checkpoint(placed)
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("first"), F.max("component").alias("last")
+    )
+    mixed = mixed.filter("first <> last").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -304,18 +321,10 @@ def near_duplicates(
         texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts"
     )
     star = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    star = checkpoint(star.distinct())
-    links = checkpoint(_confirmed(_likely(star, small, how), texts, how))
-    # Ids with a band in which different components still meet.
-    parts = checkpoint(components(links))
-    placed = shared.select("key", "id", "n").join(parts, "id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(
-        F.min("component").alias("first"), F.max("component").alias("last")
-    )
-    mixed = mixed.filter("first <> last").select("key")
-    open_ids = placed.join(mixed, "key", "left_semi").select("id", "n", "component").distinct()
-    across = _rare_pairs(checkpoint(open_ids), texts, how).join(star, ["a", "b"], "left_anti")
+    tried = checkpoint(star.distinct())
+    links = checkpoint(_confirmed(_likely(tried, small, how), texts, how))
+    open_ids = _open_bands(shared, links).select("id", "n", "component").distinct()
+    across = _rare_pairs(checkpoint(open_ids), texts, how).join(tried, ["a", "b"], "left_anti")
     more = _confirmed(_likely(checkpoint(across), small, how), texts, how)
     tied = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = components(links.union(more).union(tied))
