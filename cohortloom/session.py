@@ -72,3 +72,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the tables that `materialise` and `scratch_path` left below the scratch root.
+
+    For the end of a session: results that are still to be read from those
+    tables are lost. Returns whether there was anything to remove. Only the
+    folder `cohortloom` is touched.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/cohortloom")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.delete(folder, True))

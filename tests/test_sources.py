@@ -1,6 +1,7 @@
 import pytest
 
-from cohortloom.session import scratch_path, scratch_root
+from cohortloom import session
+from cohortloom.session import materialise, scratch_path, scratch_root
 from cohortloom.sources import delimited as dl
 from cohortloom.sources import inventory as inv
 from cohortloom.sources import tables as tb
@@ -135,3 +136,11 @@ def test_a_quarter_may_arrive_in_several_batches(spark, tmp_path):
     ).awaitTermination()
     assert {r["c000"] for r in tb.scan_table(spark, target).collect()} == {"a0", "a1", "a2", "a3"}
     assert spark.read.parquet(log).agg({"n_rows": "sum"}).first()[0] == 4
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path / "scratch"))
+    materialise(spark.range(3), "x")
+    (tmp_path / "scratch" / "other").mkdir()
+    assert session.clear_scratch(spark) and not session.clear_scratch(spark)
+    assert [p.name for p in (tmp_path / "scratch").iterdir()] == ["other"]
