@@ -226,7 +226,50 @@ def op9_repeated_passages(spark, sf_dir):
     )
 
 
-@query()
+# The same patterns as in `secrets`, in a dialect without look-around: whole runs, then their tests.
+_OP10_SQL = r"""
+WITH patterns(kind, rank, pattern, least) AS (VALUES
+  ('assign', 1, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 1),
+  ('access', 2, 'AKIA[A-Z0-9]+', 20), ('hex', 3, '[0-9a-f]+', 24), ('token', 4, '[A-Za-z0-9+/_=-]+', 32),
+  ('identifier', 5, '(?i:user_?name|user|login|client_?id|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@+-]{3,}', 1),
+  ('endpoint', 6, 'https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s"''<>]*)?', 1)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT r, kind, rank, least, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS pieces
+  FROM docs, patterns WHERE regexp_matches(text, pattern)),
+found AS (
+  SELECT r, kind, rank, least, unnest(m) AS v, unnest(list_transform(pieces[:len(m)], lambda p: length(p))) AS gap,
+    generate_subscripts(m, 1) AS i FROM cut),
+placed AS (
+  SELECT *, sum(gap + length(v)) OVER (PARTITION BY r, kind ORDER BY i) AS finish FROM found),
+parts AS (
+  SELECT r, kind, rank, finish - length(v) AS start, finish FROM placed
+  WHERE length(v) >= least
+    AND (kind <> 'assign' OR length(regexp_extract(v, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 6)
+    AND (kind <> 'token' OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
+base AS (SELECT * FROM parts WHERE rank <= 3),
+weak AS (
+  SELECT * FROM parts w WHERE rank > 3
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.start < w.finish AND w.start < b.finish)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+linked AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM weak w WHERE EXISTS (
+    SELECT 1 FROM every p WHERE p.r = w.r AND p.start <= w.finish + 200 AND w.start <= p.finish + 200
+      AND CASE w.kind WHEN 'token' THEN p.kind IN ('access', 'identifier', 'endpoint')
+                      ELSE p.kind IN ('assign', 'hex', 'token') END)),
+listed AS (
+  SELECT r, string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) AS spans,
+    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) FILTER (rank <= 3) AS based,
+    count(*) FILTER (rank = 1) AS a, count(*) FILTER (rank = 2) AS b, count(*) FILTER (rank = 3) AS c
+  FROM linked GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+  sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+
+@query(_OP10_SQL)
 def op10_secret_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs)
