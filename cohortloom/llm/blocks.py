@@ -77,6 +77,12 @@ def flat_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[where[0] : where[-1]], where - where[0]
 
 
+def slices(texts: pa.Array, rows: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of a sample, a few texts at a time, to bound the memory of fits."""
+    for start in range(0, len(texts), rows):
+        yield start, *flat_texts(texts.slice(start, rows))
+
+
 def blocks(
     batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES
 ) -> Iterator[Block]:

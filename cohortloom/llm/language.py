@@ -29,7 +29,7 @@ from cohortloom.llm.blocks import (
     blocks,
     bounded_batches,
     counts_per_text,
-    flat_texts,
+    slices,
     span_hashes,
     word_spans,
 )
@@ -113,18 +113,14 @@ def train(
         return LanguageModel([], np.zeros((_ROWS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     wanted = np.array([labels.index(x) for x in names])
-    data, offsets = flat_texts(sample.column("text").combine_chunks())
-    found, n_pieces, n_words = features(data, offsets)
-    cut = int(n_pieces.sum())
-    piece_at = np.concatenate(([0], np.cumsum(n_pieces)))
-    word_at = np.concatenate(([0], np.cumsum(n_words))) + cut
     bags = []
-    for i in range(len(names)):
-        own = np.concatenate(
-            (found[piece_at[i] : piece_at[i + 1]], found[word_at[i] : word_at[i + 1]])
-        )
-        ids, n = np.unique(own, return_counts=True)
-        bags.append((ids, (n / max(len(own), 1)).astype(np.float32)))
+    for _, data, offsets in slices(sample.column("text").combine_chunks()):
+        found, n_pieces, n_words = features(data, offsets)
+        pieces = np.split(found[: n_pieces.sum()], np.cumsum(n_pieces)[:-1])
+        words = np.split(found[n_pieces.sum() :], np.cumsum(n_words)[:-1])
+        for own in map(np.concatenate, zip(pieces, words, strict=True)):
+            ids, n = np.unique(own, return_counts=True)
+            bags.append((ids.astype(np.int32), (n / max(len(own), 1)).astype(np.float32)))
     order = rng.permutation(len(names))
     n_back = int(len(names) * held_back) if len(names) >= 10 else 0
     back, fit = order[:n_back], order[n_back:]

@@ -27,8 +27,8 @@ from cohortloom.llm.blocks import (
     PUNCTUATION,
     blocks,
     bounded_batches,
-    flat_texts,
     mix,
+    slices,
     span_hashes,
     word_spans,
 )
@@ -67,6 +67,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both & ((1 << BITS) - 1), both >> BITS
 
 
+def sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """`features` of a sample, made a few texts at a time."""
+    numbers, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for start, data, offsets in slices(texts):
+        number, owner = features(data, offsets)
+        numbers.append(number.astype(np.int32))
+        owners.append((owner + start).astype(np.int32))
+    return np.concatenate(numbers), np.concatenate(owners)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
@@ -106,8 +116,8 @@ def train(
     if not len(positive) or not len(unlabelled):
         return ToxicityModel(np.zeros(1 << BITS, np.float32), start, 1.0, 0.0)
     n_p, n_u = len(positive), len(unlabelled)
-    p_num, p_own = features(*flat_texts(positive))
-    u_num, u_own = features(*flat_texts(unlabelled))
+    p_num, p_own = sample_features(positive)
+    u_num, u_own = sample_features(unlabelled)
     used = screened(p_num, u_num, n_p, n_u, least)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
@@ -143,7 +153,7 @@ def train(
     weights[used] = w
     scale, shift = 1.0, 0.0
     if checked is not None and len(checked[0]) and 0 < checked[1].sum() < len(checked[1]):
-        num, own = features(*flat_texts(checked[0]))
+        num, own = sample_features(checked[0])
         logit = _logits(weights, b, num, own, len(checked[0]))
         scale, shift = _calibrate(logit, checked[1], prior)
     return ToxicityModel(weights, float(b), scale, shift)
