@@ -128,7 +128,8 @@ def repeated_spans(
         .select("h1", "h2", "first_id")
     )
     shown = ["id", "unit", "start", "end", "n_words"]
-    others = table.join(first, ["h1", "h2"]).filter("id > first_id").select(*shown)
+    others = table.filter("NOT again").join(first, ["h1", "h2"])
+    others = others.filter("id > first_id").select(*shown)
     found = others.union(table.filter("again").select(*shown)).distinct()
     place = Window.partitionBy("id").orderBy("unit")
     runs = found.withColumn("run", F.col("unit") - F.row_number().over(place))
