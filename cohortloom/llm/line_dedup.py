@@ -72,16 +72,20 @@ def _line_table(docs: DataFrame, key: str, text: str, min_words: int) -> DataFra
 _HALVES = ("half_a", "half_b", "half_c", "half_d")
 
 
-def _variants(lines: DataFrame) -> DataFrame:
+def _variants(lines: DataFrame, min_words: int) -> DataFrame:
     """(v, q, cls, ord) for every left-out word q, and q = 0 for the whole line.
 
     v combines one hash per (word, place), places behind the left-out word
-    moved by one; both sums run along the words of a line.
+    moved by one; both sums run along the words of a line. Lines under
+    `min_words` words are listed whole only: they have longer partners, but
+    none by a replaced word, and must not stand before one that counts.
     """
-    words = lines.select("cls", "ord", F.posexplode("words").alias("p", "word"))
+    cut = (F.size("words") >= min_words).alias("cut")
+    words = lines.select("cls", "ord", cut, F.posexplode("words").alias("p", "word"))
     words = words.select(
         "cls",
         "ord",
+        "cut",
         "p",
         F.xxhash64("word", "p").alias("here"),
         F.xxhash64("word", F.col("p") - 1).alias("moved"),
@@ -91,6 +95,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     words = words.select(
         "cls",
         "ord",
+        "cut",
         "p",
         "here",
         F.bit_xor("here").over(running).alias("before"),
@@ -104,7 +109,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     left_out = F.col("before").bitwiseXOR(F.col("here"))
     left_out = left_out.bitwiseXOR(F.col("moved_before")).bitwiseXOR(F.col("moved_whole"))
     keys = F.array(
-        F.struct(left_out.alias("v"), (F.col("p") + 1).alias("q")),
+        F.when(F.col("cut"), F.struct(left_out.alias("v"), (F.col("p") + 1).alias("q"))),
         F.when(F.col("p") == 0, F.struct(F.col("whole").alias("v"), F.lit(0).alias("q"))),
     )
     found = ends.select("cls", "ord", F.explode(keys).alias("key")).filter("key IS NOT NULL")
@@ -163,7 +168,7 @@ def _near_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, min_
         found.select(F.col("h1").alias("cls"), "h2", "ord", F.split("line", " ").alias("words")),
         "near-lines",
     )
-    rows = materialise(_variants(lines.repartition("cls")), "variants")
+    rows = materialise(_variants(lines.repartition("cls"), min_words), "variants")
     parts = rows.filter("q > 0")
     wholes = rows.filter("q = 0").select("v", F.col("cls").alias("w_cls"), F.col("ord").alias("w_ord"))
     firsts = parts.groupBy("v", "q").agg(F.min("ord").alias("witness"), F.max("ord").alias("last"))

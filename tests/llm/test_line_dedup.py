@@ -82,3 +82,14 @@ def test_a_template_with_one_changing_word(spark):
     )
     found = line_dedup.duplicate_lines(docs)
     assert found.count() == 2999 and found.filter("id = 0").count() == 0
+
+
+def test_a_replaced_word_in_a_short_line_hides_no_later_witness(spark):
+    # Seven words: one replaced is no duplicate, but the line of eight words in between is one.
+    short = "please read our terms of use today"
+    other = "please read our terms of use tomorrow"
+    for longer in ("please read our terms of use again today", short + " please", "now " + short):
+        for rows in ([(1, f"{other}\n{longer}\n{short}")], [(1, other), (2, longer), (3, short)]):
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+            got = {r["id"]: r["line_nos"] for r in line_dedup.duplicate_lines(docs).collect()}
+            assert got == brute(rows) and sum(map(len, got.values())) == 1
