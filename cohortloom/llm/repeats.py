@@ -10,7 +10,8 @@ them, as a 128-bit digest.
 Digests are grouped over all texts; the occurrence that ranks first (smallest
 id, then place) stays. Of the others, neighbouring ones are joined to runs, and
 a run of at least `min_words` words is removed. Shorter runs stay: a short line
-met twice is no passage. All places are code points of the original text.
+met twice is no passage. Only whole units count: a repeated passage that begins
+and ends inside units stays if the whole ones in it are too short. All places are code points of the original text.
 """
 
 from __future__ import annotations
