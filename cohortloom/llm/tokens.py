@@ -19,6 +19,7 @@ from cohortloom.llm.blocks import LOWER, Block, ranges, span_hashes
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _MAX_WORDS = 1_500_000
+_APART = 100_000
 
 
 def _latin1_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,17 +65,20 @@ class WordEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Encode new words, one call for all; each ends with the only closing id it has."""
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, begins and ends of words, one call for all; each ends with the only closing id it has."""
         ids = self._encode(b" ".join(words).decode())
         ends = np.flatnonzero(self.closing[ids]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
             parts = [self._encode(w.decode()) for w in words]
             ids = np.concatenate(parts)
             ends = np.cumsum([len(x) for x in parts])
-        starts = np.concatenate(([0], ends[:-1]))
+        return ids, np.concatenate(([0], ends[:-1])), ends
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         if len(self.keys) + len(keys) > _MAX_WORDS:
             raise _TableFull
+        ids, starts, ends = self._encode_words(words)
         at = np.searchsorted(self.keys, keys)
         self.first = np.insert(self.first, at, starts + len(self.flat))
         self.count = np.insert(self.count, at, ends - starts)
@@ -93,9 +97,14 @@ class WordEncoder:
         ends = edges[np.searchsorted(edges, starts) + 1] if len(starts) else starts
         hashes = span_hashes(data, starts, ends)
         keys, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
-        at = self._places(keys, data, starts[sample], ends[sample])[place]
-        n_ids = self.count[at]
-        ids = self.flat[np.repeat(self.first[at], n_ids) + ranges(n_ids)]
+        if len(keys) > _MAX_WORDS:
+            at = place
+            first, count, flat = self._apart(data, starts[sample], ends[sample])
+        else:
+            at = self._places(keys, data, starts[sample], ends[sample])[place]
+            first, count, flat = self.first, self.count, self.flat
+        n_ids = count[at]
+        ids = flat[np.repeat(first[at], n_ids) + ranges(n_ids)]
         owner = np.searchsorted(block.offsets, starts, "right") - 1
         per_text = np.bincount(owner, n_ids, minlength=len(block)).astype(np.int64)
         if direct.any():
@@ -124,6 +133,18 @@ class WordEncoder:
                 self._learn(keys, words)
         return np.searchsorted(self.keys, keys)
 
+    def _apart(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """first, count and flat of the words of one text that the table has no room for."""
+        first, count, flat, n = [], [], [], 0
+        for i in range(0, len(starts), _APART):
+            spans = zip(starts[i : i + _APART], ends[i : i + _APART], strict=True)
+            ids, begin, end = self._encode_words([data[a:b].tobytes() for a, b in spans])
+            first.append(begin + n)
+            count.append(end - begin)
+            flat.append(ids)
+            n += len(ids)
+        return np.concatenate(first), np.concatenate(count), np.concatenate(flat)
+
     def _needs_tokenizer(self, block: Block) -> np.ndarray:
         out = np.zeros(len(block), bool)
         far = np.flatnonzero(block.data > 0xC3)

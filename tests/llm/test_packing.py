@@ -7,9 +7,9 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from cohortloom.llm import packing
+from cohortloom.llm import packing, tokens
 from cohortloom.llm.blocks import as_block
-from cohortloom.llm.tokens import encoder
+from cohortloom.llm.tokens import WordEncoder, encoder
 from tests.llm.helpers import empty_docs, odd_docs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,20 @@ def test_ids_equal_the_tokenizer():
         assert part.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_a_text_with_more_words_than_the_table_holds(monkeypatch):
+    monkeypatch.setattr(tokens, "_MAX_WORDS", 50)
+    monkeypatch.setattr(tokens, "_APART", 20, raising=False)
+    tokenizer = Tokenizer.from_file(PATH)
+    own = WordEncoder(PATH)
+    rng = random.Random(8)
+    many = [" ".join("".join(rng.choices("abcdé'019.", k=6)) for _ in range(300)), "one two"]
+    for texts in (["one two three"], many, ["日本語", *many], ["two three four"]):
+        block = as_block(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+        ids, counts = own.encode_block(block)
+        for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_plan(counts, capacity):
     plan = packing.plan_lengths(np.array(counts), capacity)
     places = defaultdict(list)
