@@ -35,17 +35,21 @@ def bounded_sample(
 
     `labelled` is `fingerprints(df)` with a column `label`. Rows are chosen by
     the hash of their key and text, so the same rows are chosen each time. Only
-    texts of 1 to `max_chars` characters are sampled (they are taken whole). At
+    texts of 1 to `max_chars` characters are sampled (they are taken whole); of
+    a label that has none, the beginnings of longer ones are. At
     most `2 * per_label` rows per label are chosen, whatever the size of `df`;
     their keys are sent to the scan that fetches the texts, so no text is
     shuffled. Rows without a key or label are not sampled. Labels are assumed
     few (languages, classes).
     """
     rows = labelled.filter(
-        F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("chars").between(1, max_chars)
+        F.col("key").isNotNull() & F.col("label").isNotNull() & (F.col("chars") >= 1)
     )
-    found = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
-    counts = {r["label"]: r["n"] for r in found}
+    short = F.col("chars") <= max_chars
+    found = rows.groupBy("label").agg(F.count_if(short).alias("short"), F.count("*").alias("n")).collect()
+    counts = {r["label"]: r["short"] or r["n"] for r in found}
+    only_long = [r["label"] for r in found if not r["short"]]
+    rows = rows.filter(short | F.col("label").isin(only_long) if only_long else short)
     if not counts:
         return pa.table({"label": pa.array([], pa.string()), "text": pa.array([], pa.string())})
     share = F.lit(0)
@@ -57,7 +61,7 @@ def bounded_sample(
     named = df.select(
         F.col(key).alias("key"),
         _pick(key, text).alias("pick"),
-        F.col(text).alias("text"),
+        F.substring(text, 1, max_chars).alias("text"),
     )
     bounded = named.join(F.broadcast(chosen), ["key", "pick"])
     # A row met many times is one of the sample.

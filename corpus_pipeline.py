@@ -7,6 +7,8 @@ the columns of documents.
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,15 @@ registry = Registry()
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts; the model learns from the labelled ones."""
-    found = language.identify(docs, language_model(docs), names=("__lang", "__score", "__accepted"))
+    """Documents whose language the model accepts; the model learns from the labelled ones.
+
+    Without any labelled text there is nothing to learn from: all documents pass, with a warning.
+    """
+    model = language_model(docs)
+    if not model.labels:
+        warnings.warn("no labelled text: documents pass without a language check", stacklevel=2)
+        return docs
+    found = language.identify(docs, model, names=("__lang", "__score", "__accepted"))
     return found.filter("__accepted").select(*docs.columns)
 
 

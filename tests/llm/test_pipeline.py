@@ -1,6 +1,10 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cohortloom.llm import decontaminate
 from cohortloom.llm.line_dedup import duplicate_lines
+from cohortloom.llm.sampling import bounded_sample, fingerprints
 from tests.llm.test_line_dedup import brute as line_brute
 from tests.llm.test_near_dedup import brute as near_brute
 
@@ -42,3 +46,19 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect())) == sorted(
         map(tuple, pieces.select("doc_id", "piece", "length").collect())
     )
+
+
+def test_documents_without_a_labelled_text_are_not_dropped(spark):
+    rows = [(1, "the cat and the dog", None), (2, "le chat et le chien", None), (3, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="no labelled text"):
+        known = corpus_pipeline.known_language(spark, docs, SF)
+    assert sorted(map(tuple, known.collect())) == rows
+
+
+def test_a_label_with_long_texts_only_is_sampled(spark):
+    rows = [(1, "short one", "en"), (2, "long" * 9, "en"), (3, "lang" * 9, "de"), (4, "", "fr"), (5, None, "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marked = fingerprints(docs.withColumn("label", F.col("lang")), "doc_id", "text", "label")
+    found = bounded_sample(marked, docs, "doc_id", "text", 10, 20)
+    assert found.to_pylist() == [{"label": "de", "text": "lang" * 5}, {"label": "en", "text": "short one"}]
