@@ -140,10 +140,23 @@ def joint_similarity(
     return best
 
 
+def band_keys(found: np.ndarray, how: Settings) -> np.ndarray:
+    """One key per band of every sketch. A band's registers are dealt by a fixed shuffle.
+
+    Neighbouring or evenly spaced registers depend on each other in small sets,
+    as a set's elements go to registers in steps of their own.
+    """
+    order = np.random.default_rng(1).permutation(how.registers)
+    keys = np.zeros((len(found), how.bands), _U64)
+    for r in range(how.rows):
+        keys = mix(keys + found[:, order[r :: how.rows]].astype(_U64) + _U64(r + 1))
+    return keys ^ mix(np.arange(1, how.bands + 1, dtype=_U64))[None, :]
+
+
 def sketch_table(docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
     """Per row: id, n_shingles, two hashes of the set, band keys and registers."""
     taken = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    m, rows = how.registers, how.rows
+    m = how.registers
     schema = (
         "id long, n_shingles long, set_a long, set_b long, bands array<long>, registers binary"
     )
@@ -158,10 +171,7 @@ def sketch_table(docs: DataFrame, key: str, text: str, how: Settings) -> DataFra
                 total = np.zeros(len(block), _U64)
                 np.add.at(total, owner, mix(hashes + _U64(salt * 0x632BE59BD9B4E019)))
                 sums.append(pa.array(total.view(np.int64)))
-            keys = np.zeros((len(block), how.bands), _U64)
-            for r in range(rows):
-                keys = mix(keys + found[:, r::rows].astype(_U64) + _U64(r + 1))
-            keys ^= mix(np.arange(1, how.bands + 1, dtype=_U64))[None, :]
+            keys = band_keys(found, how)
             # Sets so small that only equal ones reach the threshold need no bands.
             banded = 100 * counts >= how.percent * (counts + 1)
             lists = pa.ListArray.from_arrays(

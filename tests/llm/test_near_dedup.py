@@ -117,3 +117,15 @@ def test_components(spark):
     chain = spark.range(1, 60).selectExpr("id AS a", "id - 1 AS b")
     assert components(chain).filter("component <> 0").count() == 0
     assert components(chain.limit(0)).count() == 0
+
+
+def test_small_sets_at_the_threshold_share_a_band():
+    # Four of five shingles: with neighbouring registers in a band, two of these pairs share none.
+    how = near_dedup.Settings()
+    big = np.random.default_rng(4).integers(0, 1 << 63, (10_000, 5), dtype=np.int64).astype(np.uint64)
+    keys = []
+    for sets in (big, big[:, :4]):
+        n, size = sets.shape
+        found = near_dedup.sketches(np.sort(sets, 1).ravel(), np.full(n, size), how.registers)
+        keys.append(near_dedup.band_keys(found, how))
+    assert (keys[0] == keys[1]).any(axis=1).all()
