@@ -21,6 +21,7 @@ from cohortloom.llm import (
     repeats,
     secrets,
     toxicity,
+    vector_codes,
 )
 from cohortloom.llm.sampling import bounded_sample, fingerprints, remainder
 from cohortloom.plans.registry import Registry
@@ -400,3 +401,50 @@ def op6_chat_format(spark, sf_dir):
         f" UNION ALL SELECT -1L, 1L, 'assistant', '{_ODD_TEXT}'"
     )
     return read_back(chat.format_log(conversation_log(turns.unionByName(odd))))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """The CTEs a<i> (row, part, 256 * distance + entry) and c<i + 1> of every round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, x.p, min((xx - 2 * list_inner_product(x.x, c.x) + list_inner_product(c.x, c.x))::BIGINT * 256 + j) AS m
+  FROM parts x JOIN c{i} c ON x.p = c.p GROUP BY r, x.p)""")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT p, j, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT p, j, list(v ORDER BY k) AS x FROM (
+      SELECT p, m % 256 AS j, k, floor(sum(v) / count(*)) AS v FROM (
+        SELECT p, m, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM parts JOIN a{i} USING (r, p))
+      GROUP BY ALL) GROUP BY p, j) n USING (p, j))""")
+    return ",\n".join(steps[:-1])
+
+
+_OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS r,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS (SELECT *, len(v) // 4 AS w FROM kept),
+parts AS MATERIALIZED (
+  SELECT r, p, x, list_inner_product(x, x) AS xx FROM (
+    SELECT r, p, v[p * w + 1 : p * w + w] AS x FROM cut, range(4) t(p))),
+c0 AS (SELECT p, r AS j, x FROM parts WHERE r < 256),
+{_lloyd_sql(4)},
+coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex(m % 256)), 2, '0'), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error
+  FROM a4 GROUP BY r),
+books AS (
+  SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, j, k)) AS codebooks_sha256
+  FROM (SELECT p, j, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM c4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
+@query(_OP13_SQL)
+def op13_vector_codes(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    codes, books = vector_codes.compress(vectors, keep=["label"])
+    found = vector_codes.label_errors(codes, "label").drop("label")
+    return found.withColumn("codebooks_sha256", F.lit(books.sha256()))
