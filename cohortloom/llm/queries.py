@@ -22,6 +22,7 @@ from cohortloom.llm import (
     secrets,
     toxicity,
     vector_codes,
+    warc,
 )
 from cohortloom.llm.sampling import bounded_sample, fingerprints, remainder
 from cohortloom.plans.registry import Registry
@@ -448,3 +449,29 @@ def op13_vector_codes(spark, sf_dir):
     codes, books = vector_codes.compress(vectors, keep=["label"])
     found = vector_codes.label_errors(codes, "label").drop("label")
     return found.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
+_OP12_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+owners AS (SELECT h, max(page_id) AS o FROM p GROUP BY h),
+fives AS (
+  SELECT h, o, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31), 1)), '') AS b FROM owners)
+SELECT page_id, n::BIGINT AS payload_bytes, b AS payload_digest,
+  CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> o THEN o END AS refers_to
+FROM p JOIN fives USING (h)
+"""
+
+
+@query(_OP12_SQL)
+def op12_warc(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = warc.read_archives(warc.write_archives(pages))
+    return found.filter(F.col("record_type") != "warcinfo").select(
+        warc.key_of(F.col("record_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.key_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
