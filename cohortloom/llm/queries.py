@@ -19,6 +19,7 @@ from cohortloom.llm import (
     near_dedup,
     packing,
     repeats,
+    resampling,
     secrets,
     toxicity,
     vector_codes,
@@ -475,3 +476,48 @@ def op12_warc(spark, sf_dir):
         "record_type",
         warc.key_of(F.col("refers_to")).cast("long").alias("refers_to"),
     )
+
+
+# A feature's bytes as bits of a shift register: each byte enters, then eight steps.
+_OP11_SQL = r"""
+WITH words AS (
+  SELECT k, id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 0 AS k, doc_id AS id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark)),
+runs AS (
+  SELECT k, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f
+  FROM words),
+counted AS MATERIALIZED (SELECT k, r, f, count(*) AS n FROM runs GROUP BY ALL),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+hashed AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(4 * len(h)),
+      lambda i: CASE WHEN i % 8 = 0 THEN ('0x' || substr(h, (i // 4 + 1)::BIGINT, 2))::BIGINT ELSE 0::BIGINT END)),
+    lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END),
+    4294967295) % 10000 AS bucket FROM hexed),
+sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (k = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (k = 1), 0)::DOUBLE AS t
+  FROM counted JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM sums, totals),
+weights AS (
+  SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+  FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE k = 0 GROUP BY r),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE k = 0),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query(_OP11_SQL)
+def op11_importance_resampling(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, read(spark, sf_dir, "benchmark").select("text"))
