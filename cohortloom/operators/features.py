@@ -21,18 +21,18 @@ def numeric_summary(column: str) -> list[Column]:
 
 
 def code_spans(
-    panel: DataFrame, entity: str, period: str, coded: Sequence[str]
+    panel: DataFrame, entity: str, period: str, coded: Sequence[str], within: Sequence[str] = ()
 ) -> DataFrame:
-    """First and last period of every value of every coded column, per entity.
+    """First and last period of every value of every coded column, per entity (and `within`).
 
     All states are fixed-size, so this hashes rather than sorts the panel, and
     an entity that holds a large share of the rows is combined before the
     shuffle and spread over tasks by its values.
     """
-    cells = melt(panel, coded, keep=[entity, period], key="_column", dtype="string")
+    cells = melt(panel, coded, keep=[entity, period, *within], key="_column", dtype="string")
     return (
         cells.where(F.col("value").isNotNull())
-        .groupBy(entity, "_column", "value")
+        .groupBy(entity, *within, "_column", "value")
         .agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
     )
 
@@ -40,7 +40,12 @@ def code_spans(
 def code_features(
     panel: DataFrame, entity: str, period: str, coded: Sequence[str]
 ) -> DataFrame:
-    """First, last and number of different present values of each coded column, per entity.
+    """First, last and number of different present values of each coded column, per entity."""
+    return features_of_spans(code_spans(panel, entity, period, coded), entity, coded)
+
+
+def features_of_spans(spans: DataFrame, entity: str, coded: Sequence[str]) -> DataFrame:
+    """The code features from one row per entity, column and value.
 
     At equal periods the smaller value is the first and the larger the last.
     """
@@ -54,7 +59,7 @@ def code_features(
             F.max(end)["value"].alias(f"last_{c}"),
             F.count_if(here).alias(f"nunique_{c}"),
         ]
-    return code_spans(panel, entity, period, coded).groupBy(entity).agg(*wide)
+    return spans.groupBy(entity).agg(*wide)
 
 
 def entity_features(

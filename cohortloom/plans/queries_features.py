@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.operators import evidence as ev
+from cohortloom.operators import states as st
 from cohortloom.operators.features import entity_features as build_features
 from cohortloom.operators.quantiles import describe, histogram
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
@@ -18,7 +19,7 @@ from cohortloom.plans.star_panel import (
     numeric_features,
     panel,
 )
-from cohortloom.session import materialise
+from cohortloom.session import materialise, scratch_path
 
 registry = Registry()
 query = registry.query
@@ -71,6 +72,65 @@ def first_last_values(spark, sf_dir):
     return build_features(panel(spark, sf_dir), numeric=[], coded=["cat_status"])
 
 
+_NUMERIC = [f"num_{b}" for b in BASES]
+
+
+@query(
+    f"WITH {PANEL_SQL} SELECT entity_id, CAST(year AS VARCHAR) AS batch, count(*) AS n_months, min(period_date) AS min_period,"
+    " max(period_date) AS max_period, "
+    + ", ".join(
+        f"count({c}) AS n_{c}, {rounded_sql(f'coalesce(avg({c}), 0)', _digits(c))} AS mean_{c},"
+        f" {rounded_sql(f'coalesce(var_pop({c}) * count({c}), 0)', 1 if c == 'num_price' else 6)} AS m2_{c},"
+        f" min({c}) AS low_{c}, max({c}) AS high_{c}"
+        for c in _NUMERIC
+    )
+    + " FROM panel GROUP BY ALL"
+)
+def feature_states(spark, sf_dir):
+    """The mergeable state of every entity and year."""
+    rows = panel(spark, sf_dir).withColumn("batch", F.col("year").cast("string"))
+    found = st.number_states(rows, "entity_id", "period_date", _NUMERIC, "batch")
+    wide = []
+    for c in _NUMERIC:
+        state = F.col(c)
+        wide += [
+            state["n"].alias(f"n_{c}"),
+            rounded(state["mean"], _digits(c)).alias(f"mean_{c}"),
+            rounded(state["m2"], 1 if c == "num_price" else 6).alias(f"m2_{c}"),
+            state["low"].alias(f"low_{c}"),
+            state["high"].alias(f"high_{c}"),
+        ]
+    return found.select("entity_id", "batch", "n_months", "min_period", "max_period", *wide)
+
+
+@query(
+    f"WITH {FEATURES_SQL}, coded AS (SELECT entity_id, {_coded_sql(_CODED)} FROM panel"
+    " GROUP BY entity_id) SELECT entity_id, n_months, min_period, max_period, "
+    + ", ".join(f"{rounded_sql(c, _digits(c))} AS {c}" for c in _WIDE)
+    + ", "
+    + ", ".join(f"{k}_{c}" for c in _CODED for k in ("first", "last", "nunique"))
+    + " FROM features JOIN coded USING (entity_id)"
+)
+def incremental_features(spark, sf_dir):
+    """Years loaded in two steps, the second with a late year and a year corrected.
+
+    The first load has a wrong version of one year (every second row is missing)
+    and lacks another; the second replaces the one and adds the other. The states
+    must then give the features of the whole panel.
+    """
+    rows = materialise(panel(spark, sf_dir, orders=True), "panel")
+    rows = rows.withColumn("batch", F.col("year").cast("string"))
+    root = scratch_path(spark, "states")
+    late, wrong = F.col("year") == 1994, F.col("year") == 1996
+    how = {"numeric": _NUMERIC, "coded": _CODED}
+    st.save_states(rows.where(~late & ~(wrong & (F.col("line_no") % 2 == 0))), root, "batch", **how)
+    st.save_states(rows.where(late | wrong), root, "batch", **how)
+    wide = st.load_features(spark, root, "batch", **how)
+    return wide.select(
+        *[rounded(c, _digits(c)).alias(c) if c in _WIDE else c for c in wide.columns]
+    )
+
+
 @query(
     f"WITH {FEATURES_SQL}, stats AS (SELECT CAST(n_months AS DOUBLE) AS x FROM features)"
     " SELECT 'count' AS stat, CAST(count(x) AS DOUBLE) AS value FROM stats UNION ALL SELECT 'mean',"
