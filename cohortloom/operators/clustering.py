@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.evidence import zscore_matrix
 from cohortloom.operators.latent import assemble
+from cohortloom.operators.lloyd import CentreSet, fit_sets, label, silhouettes
 from cohortloom.operators.sampling import sample_rows
+from cohortloom.operators.tree import Tree, grow
 from cohortloom.session import materialise
 
 # The range of k and the seed of the sweeps.
@@ -114,6 +116,64 @@ def kmeans_fit(
     return Segmentation(labels, centroids, cost)
 
 
+@dataclass(frozen=True)
+class Sweep:
+    """All spaces' rows (space, key, x), the best fit of every space and k, and the report."""
+
+    points: DataFrame
+    fits: dict[tuple[str, int], CentreSet]
+    report: DataFrame
+
+    def labels(self, space: str, k: int, entity: str) -> DataFrame:
+        """(entity, cluster) by the fit of the sweep itself, clusters numbered by size."""
+        fit = self.fits[space, k]
+        by_size = sorted(range(fit.k), key=lambda c: (-fit.counts[c], c))
+        own = self.points.where(F.col("space") == space)
+        return label(own, fit.centres[by_size], entity, dict(own.dtypes)["key"])
+
+
+def space_points(
+    df: DataFrame, entity: str, columns: str | Sequence[str], space: str, fit_n: int | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """Rows (space, key, x) of a standardised space; `fit_n` takes that many sampled rows."""
+    chosen = df.select(entity, *([columns] if isinstance(columns, str) else columns))
+    if fit_n is not None:
+        chosen = sample_rows(chosen, fit_n, [entity], seed)
+    vectors = standard_vectors(chosen, entity, columns)
+    return vectors.select(
+        F.lit(space).alias("space"), F.col(entity).alias("key"), vector_to_array("vector").alias("x")
+    )
+
+
+def sweep(
+    spaces: dict[str, tuple[DataFrame, str | Sequence[str]]],
+    entity: str,
+    ks: Iterable[int] = K_RANGE,
+    n_init: int = 3,
+    seed: int = SEED,
+    fit_n: int | None = None,
+) -> Sweep:
+    """k-means for every space and k over all rows, all fits moved on in the same passes.
+
+    The silhouette uses squared Euclidean distances, whose mean over a cluster
+    follows from the cluster's sums: every row is scored, for all fits in one pass.
+    The report has rows `(space, k, silhouette, cost, n_scored)`.
+    """
+    rows = [space_points(t, entity, columns, s, fit_n, seed) for s, (t, columns) in spaces.items()]
+    points = materialise(reduce(DataFrame.unionByName, rows), "sweep")
+    ks = list(ks)
+    fits = fit_sets(points, list(spaces), ks, n_init, seed)
+    order = list(fits)
+    scores = silhouettes(points, [fits[o] for o in order]) if order else []
+    report = [
+        (space, k, score, fits[space, k].cost, int(fits[space, k].counts.sum()))
+        for (space, k), score in zip(order, scores)
+    ]
+    schema = "space string, k int, silhouette double, cost double, n_scored bigint"
+    return Sweep(points, fits, points.sparkSession.createDataFrame(report, schema))
+
+
 def silhouette_sweep(
     df: DataFrame,
     entity: str,
@@ -124,41 +184,15 @@ def silhouette_sweep(
     seed: int = SEED,
     fit_n: int | None = None,
 ) -> DataFrame:
-    """Rows `(space, k, silhouette, cost, n_scored)`: one k-means fit per k over all rows.
-
-    The silhouette uses squared Euclidean distances, whose mean over a cluster
-    follows from the cluster's sums: every row is scored, in one pass per k.
-    `fit_n` fits and scores that many sampled rows instead.
-    """
-    spark = df.sparkSession
-    chosen = df.select(entity, *([columns] if isinstance(columns, str) else columns))
-    if fit_n is not None:
-        chosen = sample_rows(chosen, fit_n, [entity], seed)
-    vectors = materialise(standard_vectors(chosen, entity, columns), "sweep")
-    n_scored = vectors.count()
-    evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="prediction")
-    rows = []
-    for k in ks:
-        model = fit_kmeans(vectors, k, n_init, seed)
-        labelled = label_with(model, vectors, "prediction")
-        # One cluster only, as with equal rows, has no silhouette.
-        several = sum(size > 0 for size in model.summary.clusterSizes) > 1
-        score = evaluator.evaluate(labelled) if several else 0.0
-        rows.append((space, k, score, float(model.summary.trainingCost), n_scored))
-    return spark.createDataFrame(
-        rows, "space string, k int, silhouette double, cost double, n_scored bigint"
-    )
+    """The report of `sweep` for one space. `fit_n` fits and scores that many sampled rows."""
+    return sweep({space: (df, columns)}, entity, ks, n_init, seed, fit_n).report
 
 
 def compare_spaces(
     spaces: dict[str, tuple[DataFrame, Sequence[str]]], entity: str, **options
 ) -> DataFrame:
     """The sweep of every space, one under the other. A space is a table and its columns."""
-    reports = None
-    for name, (table, columns) in spaces.items():
-        report = silhouette_sweep(table, entity, columns, name, **options)
-        reports = report if reports is None else reports.unionByName(report)
-    return reports
+    return sweep(spaces, entity, **options).report
 
 
 def best_per_group(
@@ -180,6 +214,14 @@ def winner(report: DataFrame) -> tuple[str, int]:
     return row["space"], row["k"]
 
 
+def grow_tree(
+    df: DataFrame, entity: str, columns: str | Sequence[str], k: int, seed: int = SEED
+) -> tuple[DataFrame, Tree]:
+    """The standardised rows (space, key, x), stored, and their cluster tree with k leaves."""
+    points = materialise(space_points(df, entity, columns, "tree"), "tree")
+    return points, grow(points, k, seed)
+
+
 def bisecting_sweep(
     df: DataFrame,
     entity: str,
@@ -187,18 +229,17 @@ def bisecting_sweep(
     ks: Iterable[int] = K_RANGE,
     seed: int = SEED,
 ) -> DataFrame:
-    """Divisive clustering of all rows: rows `(k, n_leaves, cost)` down the tree."""
-    spark = df.sparkSession
-    vectors = standard_vectors(df, entity, columns).select("vector").persist()
-    try:
-        rows = []
-        for k in ks:
-            model = BisectingKMeans(k=k, seed=seed, featuresCol="vector").fit(vectors)
-            leaves = len(model.clusterCenters())
-            rows.append((k, leaves, float(model.summary.trainingCost)))
-    finally:
-        vectors.unpersist()
-    return spark.createDataFrame(rows, "k int, n_leaves int, cost double")
+    """Divisive clustering of all rows: rows `(k, n_leaves, cost)` down one tree, cut at every k."""
+    ks = list(ks)
+    _, tree = grow_tree(df, entity, columns, max(ks), seed)
+    rows = []
+    for k in ks:
+        splits = tree.splits(k - 1)
+        leaves = {1} if tree.nodes else set()
+        for node in splits:
+            leaves = (leaves - {node.name}) | set(node.children)
+        rows.append((k, len(leaves), float(sum(tree.nodes[n].cost for n in leaves))))
+    return df.sparkSession.createDataFrame(rows, "k int, n_leaves int, cost double")
 
 
 def centroids_of(df: DataFrame, features: str, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from cohortloom.operators import clustering as cl
 from cohortloom.operators import latent as lat
 from cohortloom.operators.silhouette import silhouette
 from cohortloom.operators.silhouette import silhouette_squared as squared_form
+from cohortloom.operators.tree import tree_labels, tree_table
 from cohortloom.plans.queries_latent import Z, stored_zscores
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
 from cohortloom.plans.star_panel import FEATURES_SQL, VARIED, numeric_features, table
@@ -248,11 +249,102 @@ def bisecting_consistency(spark, sf_dir):
     )
 
 
+def _tree_sql(k: int) -> str:
+    """CTEs of the tree over one column: a<i> (entity_id, x, node) after i splits.
+
+    In one dimension the best pair of clusters is the best cut of the sorted values.
+    """
+    steps = [
+        f"{FEATURES_SQL}, moments AS (SELECT avg(mean_num_quantity) AS m, stddev_pop(mean_num_quantity) AS s"
+        " FROM features), a0 AS MATERIALIZED (SELECT entity_id, coalesce((mean_num_quantity - m) / s, 0) AS x,"
+        " 1 AS node FROM features, moments)"
+    ]
+    for i in range(k):
+        steps.append(
+            f"s{i} AS MATERIALIZED (SELECT node, count(*) AS n, sum(x) AS t,"
+            f" sum(x * x) - sum(x) * sum(x) / count(*) AS cost FROM a{i} GROUP BY node)"
+        )
+    for i in range(k - 1):
+        steps.append(
+            f"top{i} AS MATERIALIZED (SELECT * FROM s{i} ORDER BY cost DESC, node LIMIT 1),"
+            f" places{i} AS (SELECT x, sum(c) OVER (ORDER BY x) AS n1, sum(v) OVER (ORDER BY x) AS t1 FROM"
+            f" (SELECT x, count(*) AS c, sum(x) AS v FROM a{i} JOIN top{i} USING (node) GROUP BY x)),"
+            f" cut{i} AS MATERIALIZED (SELECT x AS cut FROM places{i}, top{i} WHERE n1 < n"
+            " ORDER BY t1 * t1 / n1 + (t - t1) * (t - t1) / (n - n1) DESC, x LIMIT 1),"
+            f" a{i + 1} AS MATERIALIZED (SELECT entity_id, x, CASE WHEN a.node <> top.node THEN a.node"
+            f" WHEN x <= cut THEN {2 * i + 2} ELSE {2 * i + 3} END AS node FROM a{i} a, top{i} top, cut{i})"
+        )
+    # Statistics of a<i> are needed before the split that follows them.
+    heads = [s for s in steps if s.startswith("s")]
+    body = [steps[0]]
+    for i in range(k):
+        body.append(heads[i])
+        if i < k - 1:
+            body.append(next(s for s in steps if s.startswith(f"top{i} ")))
+    return "WITH " + ", ".join(body)
+
+
+_TREE_K = 5
+_TREE_ROWS_SQL = " UNION ALL ".join(
+    ["SELECT 1 AS node, NULL AS parent, n, cost FROM s0"]
+    + [
+        f"SELECT s.node, top.node, s.n, s.cost FROM s{i + 1} s, top{i} top WHERE s.node IN ({2 * i + 2}, {2 * i + 3})"
+        for i in range(_TREE_K - 1)
+    ]
+)
+_TREE_SPLITS_SQL = " UNION ALL ".join(f"SELECT node, {i} AS split FROM top{i}" for i in range(_TREE_K - 1))
+_TREE_LEVELS_SQL = " UNION ALL ".join(
+    f"SELECT {i + 1} AS k, node, count(*) AS n, {rounded_sql('min(x)')} AS low, {rounded_sql('max(x)')} AS high"
+    f" FROM a{i} GROUP BY node"
+    for i in range(_TREE_K)
+)
+
+
+def _line_tree(spark, sf_dir):
+    features = numeric_features(spark, sf_dir, ["quantity"]).select("entity_id", "mean_num_quantity")
+    return cl.grow_tree(materialise(features, "features"), "entity_id", ["mean_num_quantity"], _TREE_K)
+
+
+@query(
+    f"{_tree_sql(_TREE_K)} SELECT CAST(r.node AS BIGINT) AS node, CAST(parent AS BIGINT) AS parent,"
+    f" CAST(split AS BIGINT) AS split, n AS size, {rounded_sql('cost', 4)} AS height"
+    f" FROM ({_TREE_ROWS_SQL}) r LEFT JOIN ({_TREE_SPLITS_SQL}) t ON r.node = t.node"
+)
+def cluster_tree_line(spark, sf_dir):
+    """The tree over one feature, whose best splits have a closed form."""
+    _, tree = _line_tree(spark, sf_dir)
+    found = tree_table(tree, spark)
+    return found.select("node", "parent", "split", "size", rounded("height", 4).alias("height"))
+
+
+@query(
+    f"{_tree_sql(_TREE_K)} SELECT CAST(k AS INTEGER) AS k, CAST(node AS BIGINT) AS node, n AS size, low, high"
+    f" FROM ({_TREE_LEVELS_SQL})"
+)
+def cluster_tree_levels(spark, sf_dir):
+    """Sizes and value ranges of the clusters at every k, from the labels of all rows."""
+    points, tree = _line_tree(spark, sf_dir)
+    labels = tree_labels(points, tree, "entity_id", "string", list(range(1, _TREE_K + 1)))
+    values = points.select(F.col("key").alias("entity_id"), F.col("x")[0].alias("x"))
+    return labels.join(values, "entity_id").groupBy("k", "node").agg(
+        F.count("*").alias("size"),
+        rounded(F.min("x")).alias("low"),
+        rounded(F.max("x")).alias("high"),
+    )
+
+
+@query()
+def cluster_tree(spark, sf_dir):
+    """The tree over all varied mean features, with eight leaves."""
+    features = numeric_features(spark, sf_dir).select("entity_id", *VARIED)
+    _, tree = cl.grow_tree(materialise(features, "features"), "entity_id", VARIED, 8)
+    return tree_table(tree, spark)
+
+
 @query()
 def embedding_clusters(spark, sf_dir):
-    """Embeddings standardised, swept over k, and labelled with the best k."""
+    """Embeddings standardised, swept over k, and labelled by the sweep's own fit of the best k."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    report = cl.silhouette_sweep(rows, "vec_id", "embedding", "embedding", range(2, 7), n_init=1)
-    _, k = cl.winner(report)
-    fit = cl.kmeans_fit(rows, "vec_id", "embedding", k, n_init=1)
-    return fit.labels.withColumn("k", F.lit(k))
+    found = cl.sweep({"embedding": (rows, "embedding")}, "vec_id", range(2, 7), n_init=1)
+    space, k = cl.winner(found.report)
+    return found.labels(space, k, "vec_id").withColumn("k", F.lit(k))
