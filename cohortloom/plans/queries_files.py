@@ -303,7 +303,7 @@ def manifest_totals(spark, sf_dir):
     return inv.manifest_summary(listed).select(
         (F.col("files") >= quarters).alias("a_file_for_each"),
         (F.col("bytes") == sizes).alias("bytes_add_up"),
-        F.lit(columns == 16).alias("columns_known"),
+        F.lit(columns == 17).alias("columns_known"),
         quarters.alias("n_quarters"),
     )
 

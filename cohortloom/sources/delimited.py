@@ -1,9 +1,17 @@
-"""Headerless delimited text: layout detection, reading, and loading into a partitioned table."""
+"""Headerless delimited text: layout detection, reading, and loading into a partitioned table.
+
+A loaded table has one folder per year and quarter, however many files a quarter came
+in. Which files it holds is written in its own file list, the hidden folder `_files`
+below it: a load reads the files that are not listed as done, appends their rows under
+its own load id, and lists them. A load that broke off between its rows and its list
+entry is found by its entry `started`, and its rows are taken out before the next load.
+"""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -22,10 +30,13 @@ from cohortloom.sources.inventory import (
     member_year,
     path_key,
 )
-from cohortloom.sources.tables import partition_counts, scan_table, write_table
+from cohortloom.sources.tables import scan_table, write_table
 
-# The folders of a loaded table: one per member file, so that no load touches another's rows.
-MEMBER_KEYS = ("year", "quarter", "member")
+# The folders of a loaded table, and the columns that say where a row came from.
+QUARTER_KEYS = ("year", "quarter")
+ORIGIN = ("member", "load_id")
+MEMBER_KEYS = (*QUARTER_KEYS, *ORIGIN)
+FILE_LIST = "_files"
 
 # The delimiters tried, in order of preference on a tie.
 DELIMITERS = (",", "|", "\t", ";")
@@ -110,25 +121,78 @@ def read_delimited(
     return raw.select(*columns)
 
 
-def stored_members(spark: SparkSession, root: str) -> DataFrame | None:
-    """(year, quarter, member) of the files a table already holds, None without a table.
+FILES_SCHEMA = (
+    "load_id string, status string, member string, year int, quarter string, delimiter string,"
+    " n_columns int, n_rows bigint, listed_at timestamp"
+)
+LOG_SCHEMA = (
+    "member string, year int, quarter string, delimiter string, n_columns int, "
+    "n_rows bigint, seconds double, compression string, finished_at timestamp"
+)
 
-    Only partition values are read, no data pages.
-    """
+
+def file_list(spark: SparkSession, root: str) -> DataFrame:
+    """All entries of a table's file list, none for a table that does not exist yet."""
     try:
-        table = scan_table(spark, root)
+        return spark.read.schema(FILES_SCHEMA).parquet(f"{root}/{FILE_LIST}")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
+            return spark.createDataFrame([], FILES_SCHEMA)
         raise
-    keys = [F.col(k).cast("int" if k == "year" else "string").alias(k) for k in MEMBER_KEYS]
-    return table.select(*keys).distinct()
 
 
-LOG_SCHEMA = (
-    "member string, year int, quarter string, delimiter string, n_columns int, "
-    "n_rows bigint, seconds double, compression string, finished_at timestamp"
-)
+def stored_members(spark: SparkSession, root: str) -> DataFrame:
+    """(member, year, quarter, n_rows, ...) of the files a table holds, by its file list."""
+    done = file_list(spark, root).where("status = 'done'")
+    latest = F.max_by(F.struct(*done.columns), "listed_at")
+    return done.groupBy("member").agg(latest.alias("last")).select("last.*")
+
+
+def _list_files(spark: SparkSession, root: str, load_id: str, status: str, rows: Sequence[tuple]) -> None:
+    """Append entries (member, year, quarter, delimiter, n_columns, n_rows) of a load."""
+    now = datetime.now(timezone.utc)
+    entries = [(load_id, status, *row, now) for row in rows]
+    table = spark.createDataFrame(entries, FILES_SCHEMA)
+    table.coalesce(1).write.mode("append").parquet(f"{root}/{FILE_LIST}")
+
+
+def _without(spark: SparkSession, root: str, lost: DataFrame, on: str) -> None:
+    """Write the quarters in `lost` again without the rows whose `on` is in it.
+
+    A quarter is replaced as a whole; one that keeps no row loses its folder.
+    Repeating the call after a failure changes nothing more.
+    """
+    try:
+        table = scan_table(spark, root)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return
+    named = [F.col(k).cast("string").alias(f"_{k}") for k in QUARTER_KEYS]
+    quarters = F.broadcast(lost.select(*named).distinct())
+    same = [F.col(k).cast("string") == F.col(f"_{k}") for k in QUARTER_KEYS]
+    touched = table.join(quarters, same, "left_semi")
+    kept = touched.join(F.broadcast(lost.select(on).distinct()), on, "left_anti").select(*table.columns)
+    left = {(str(r["year"]), r["quarter"]) for r in kept.select(*QUARTER_KEYS).distinct().collect()}
+    write_table(kept, root, QUARTER_KEYS, mode="replace_partitions")
+    for row in quarters.collect():
+        if tuple(row) not in left:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/year={row[0]}/quarter={row[1]}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def recover(spark: SparkSession, root: str) -> int:
+    """Take out the rows of loads that broke off; returns the number of such loads."""
+    entries = file_list(spark, root)
+    ended = entries.where("status <> 'started'").select("load_id").distinct()
+    broken = entries.where("status = 'started'").join(ended, "load_id", "left_anti")
+    found = broken.select("load_id", *QUARTER_KEYS).distinct().collect()  # a row per quarter of a load
+    if not found:
+        return 0
+    _without(spark, root, spark.createDataFrame(found), "load_id")
+    for load_id in {r["load_id"] for r in found}:
+        _list_files(spark, root, load_id, "undone", [(None, None, None, None, None, None)])
+    return len({r["load_id"] for r in found})
 
 
 def load_members(
@@ -140,43 +204,73 @@ def load_members(
     delimiter: str | None = None,
     width: int | None = None,
 ) -> DataFrame:
-    """Read member files and write `target/year=.../quarter=.../member=...`.
-
-    `members` has one row `(path, file, year, quarter)` per file. Every file
-    has a folder of its own (named by its folder and file name), which a load
-    replaces, so loading a file again changes nothing and files of one quarter
-    may come in any number of loads. Files are read by one plan per distinct
-    layout, not one job per file. Giving both `delimiter` and `width` saves the
-    pass over the text that detects them. Returns the load log, one row per
-    member; a member without rows has none stored and 0 in its log.
+    """Read member files and add their rows to `target/year=.../quarter=...`.
+
+    `members` has one row `(path, file, year, quarter)` per file. A member that
+    the table holds already is replaced: its quarter is written again without
+    its old rows. Files of one quarter may come in any number of loads. Files are
+    read by one plan per distinct layout, not one job per file. Giving both
+    `delimiter` and `width` saves the pass over the text that detects them.
+    Returns the load log, one row per member; an empty file has 0 rows in it. One
+    load at a time may run on a table.
     """
     started = time.time()
     tokens = tuple(null_tokens)
     paths = [m["path"] for m in members]
     if not paths:
         return spark.createDataFrame([], LOG_SCHEMA)
+    recover(spark, target)
+    names = {path_key(m["path"]): "/".join(m["path"].split("/")[-2:]) for m in members}
+    old = stored_members(spark, target).where("n_rows > 0")
+    wanted = spark.createDataFrame([(n,) for n in names.values()], "member string")
+    old = old.join(wanted, "member", "left_semi").select("member", *QUARTER_KEYS).collect()
+    if old:
+        _without(spark, target, spark.createDataFrame(old), "member")
     if delimiter is not None and width is not None:
         layouts = {path_key(p): (delimiter, width) for p in paths}
     else:
-        sniffed = sniff_layout(read_lines(spark, paths)).collect()  # one row per file
+        sniffed = sniff_layout(read_lines(spark, paths)).collect()  # one row per file of this load
         layouts = {r["path"]: (r["delimiter"], r["n_columns"]) for r in sniffed}
     by_layout: dict[tuple[str, int], list[str]] = {}
     for path in paths:
         if path_key(path) in layouts:  # an empty file has no line and so no layout
             by_layout.setdefault(layouts[path_key(path)], []).append(path)
-    if not by_layout:
-        return _load_log(spark, None, members, layouts, compression, round(time.time() - started, 3))
-    parts = [
-        read_delimited(spark, group, sep, n_columns, tokens, with_member=True)
-        for (sep, n_columns), group in sorted(by_layout.items())
+    load_id = uuid.uuid4().hex
+    entries = [
+        (names[path_key(m["path"])], m["year"], m["quarter"], *layouts.get(path_key(m["path"]), (None, 0)))
+        for m in sorted(members, key=lambda m: m["path"])
     ]
-    widest = max(n_columns for _, n_columns in by_layout)
-    bronze = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    bronze = bronze.select(*column_names(widest), *MEMBER_KEYS)
-    # Every input split belongs to one member and so to one partition: no shuffle is needed.
-    write_table(bronze, target, MEMBER_KEYS, compression, mode="replace_partitions")
-    seconds = round(time.time() - started, 3)
-    return _load_log(spark, target, members, layouts, compression, seconds)
+    _list_files(spark, target, load_id, "started", [(*e, None) for e in entries])
+    counts: dict[str, int] = {}
+    if by_layout:
+        parts = [
+            read_delimited(spark, group, sep, n_columns, tokens, with_member=True)
+            for (sep, n_columns), group in sorted(by_layout.items())
+        ]
+        widest = max(n_columns for _, n_columns in by_layout)
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows = rows.withColumn("load_id", F.lit(load_id)).select(*column_names(widest), *ORIGIN, *QUARTER_KEYS)
+        # Every input split belongs to one member and so to one quarter: no shuffle is needed.
+        write_table(rows, target, QUARTER_KEYS, compression, mode="append")
+        # Rows as written; only the two origin columns of these quarters are read.
+        written = scan_table(spark, target).where(F.col("load_id") == load_id)
+        written = written.where(F.col("year").isin(sorted({e[1] for e in entries})))
+        counts = {r["member"]: r["count"] for r in written.groupBy("member").count().collect()}
+    done = [(*e, counts.get(e[0], 0)) for e in entries]
+    _list_files(spark, target, load_id, "done", done)
+    seconds, now = round(time.time() - started, 3), datetime.now(timezone.utc)
+    return spark.createDataFrame([(*d, seconds, compression, now) for d in done], LOG_SCHEMA)
+
+
+def _in_pieces(rows: Iterable[Row], n: int) -> Iterator[list[Row]]:
+    piece: list[Row] = []
+    for row in rows:
+        piece.append(row)
+        if len(piece) == n:
+            yield piece
+            piece = []
+    if piece:
+        yield piece
 
 
 def ingest_delimited(
@@ -187,52 +281,27 @@ def ingest_delimited(
     process_all: bool = False,
     overwrite: bool = False,
     log_path: str | None = None,
+    files_per_load: int = 10_000,
     **options,
 ) -> DataFrame:
     """Load the delimited members (`...2020Q1...`) below `source` into a partitioned table.
 
-    Members that are stored are skipped unless `overwrite`; a file that comes
-    later for a stored quarter is loaded. `options` go to `load_members`.
-    Returns the load log of this run, which is also appended to `log_path`.
+    Members on the table's file list are skipped unless `overwrite`; a file that
+    comes later for a stored quarter is loaded. The driver holds the names of
+    `files_per_load` files at a time. `options` go to `load_members`. Returns the
+    load log of this run, which is also appended to `log_path`.
     """
     members = member_filter(list_files(spark, source), years, process_all)
-    done = None if overwrite else stored_members(spark, target)
-    if done is not None:
+    if not overwrite:
+        done = stored_members(spark, target).select("member")
         named = members.withColumn("member", member_name(F.col("path")))
-        members = named.join(done, list(MEMBER_KEYS), "left_anti")
-    log = load_members(spark, members.collect(), target, **options)  # one row per member file
-    if log_path:
-        append_load_log(log, log_path)
-    return log
-
-
-def _load_log(spark, target, members, layouts, compression, seconds) -> DataFrame:
-    described = []
-    for m in sorted(members, key=lambda m: m["path"]):
-        sep, width = layouts.get(path_key(m["path"]), (None, 0))
-        name = "/".join(m["path"].split("/")[-2:])
-        described.append((name, m["year"], m["quarter"], sep, width))
-    loaded = spark.createDataFrame(
-        described, "member string, year int, quarter string, delimiter string, n_columns int"
-    )
-    n_rows = F.lit(0).cast("bigint")
-    if target is not None:
-        # Rows as written, counted from the files' own metadata, of these members only.
-        stored = scan_table(spark, target).withColumn("member", F.col("member").cast("string"))
-        these = stored.join(loaded.select(*MEMBER_KEYS), list(MEMBER_KEYS), "left_semi")
-        loaded = loaded.join(partition_counts(these, MEMBER_KEYS), list(MEMBER_KEYS), "left")
-        n_rows = F.coalesce("n_rows", n_rows)
-    return loaded.select(
-        "member",
-        "year",
-        "quarter",
-        "delimiter",
-        "n_columns",
-        n_rows.alias("n_rows"),
-        F.lit(seconds).alias("seconds"),
-        F.lit(compression).alias("compression"),
-        F.lit(datetime.now(timezone.utc)).alias("finished_at"),
-    )
+        members = named.join(done, "member", "left_anti")
+    logs = []
+    for piece in _in_pieces(members.orderBy("year", "quarter", "path").toLocalIterator(), files_per_load):
+        logs.append(load_members(spark, piece, target, **options))
+        if log_path:
+            append_load_log(logs[-1], log_path)
+    return reduce(DataFrame.unionByName, logs) if logs else spark.createDataFrame([], LOG_SCHEMA)
 
 
 def append_load_log(log: DataFrame, path: str) -> None:

@@ -37,7 +37,7 @@ def test_ingest_mixed_layouts_then_again(spark, tmp_path):
         (2020, "Q1"): (2, 4), (2020, "Q2"): (1, 4), (2021, "Q1"): (2, 3),
     }
     stored = tb.scan_table(spark, target)
-    assert stored.columns == ["c000", "c001", "c002", "c003", "year", "quarter", "member"]
+    assert stored.columns == ["c000", "c001", "c002", "c003", "member", "load_id", "year", "quarter"]
     found = {(r["c002"], r["c003"]) for r in stored.collect()}
     assert found == {("012020", None), ("022020", None), ("042020", "5"), ("012021", None), ("022021", None)}
     assert stored.where("c001 IS NULL").count() == 1
@@ -144,3 +144,74 @@ def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     (tmp_path / "scratch" / "other").mkdir()
     assert session.clear_scratch(spark) and not session.clear_scratch(spark)
     assert [p.name for p in (tmp_path / "scratch").iterdir()] == ["other"]
+
+
+def loaded(spark, target):
+    return sorted((r["member"], r["c000"]) for r in tb.scan_table(spark, target).collect())
+
+
+def test_a_quarter_has_one_folder_and_members_are_replaced(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for i in range(5):
+        (source / f"2020Q1_{i}.csv").write_text(f"a{i}|1\n" * 3)
+    (source / "2020Q2.csv").write_text("b|1\n")
+    dl.ingest_delimited(spark, str(source), str(target), process_all=True, files_per_load=2)
+    folders = [p.name for p in (target / "year=2020").iterdir()]
+    assert sorted(folders) == ["quarter=Q1", "quarter=Q2"]
+    assert not [p for p in (target / "year=2020" / "quarter=Q1").iterdir() if p.is_dir()]
+    (source / "2020Q1_3.csv").write_text("new|2\n")
+    (source / "2020Q2.csv").write_text("")
+    dl.ingest_delimited(spark, str(source), str(target), process_all=True, overwrite=True)
+    assert loaded(spark, str(target)) == sorted(
+        [(f"in/2020Q1_{i}.csv", f"a{i}") for i in (0, 1, 2, 4)] * 3 + [("in/2020Q1_3.csv", "new")]
+    )
+    assert not (target / "year=2020" / "quarter=Q2").exists()
+    counts = {r["member"]: r["n_rows"] for r in dl.stored_members(spark, str(target)).collect()}
+    assert counts["in/2020Q1_3.csv"] == 1 and counts["in/2020Q2.csv"] == 0
+
+
+@pytest.mark.parametrize("broken_at", ["rows", "list"])
+def test_a_load_that_broke_off_is_undone_and_repeated(spark, tmp_path, monkeypatch, broken_at):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "2020Q1_0.csv").write_text("a|1\n")
+    dl.ingest_delimited(spark, str(source), target, process_all=True)
+    (source / "2020Q1_1.csv").write_text("b|1\n")
+    (source / "2020Q3_1.csv").write_text("c|1\n")
+    real = {"rows": dl.write_table, "list": dl._list_files}[broken_at]
+
+    def fail(*args, **kwargs):
+        if broken_at == "list" and args[3] == "started":
+            return real(*args, **kwargs)
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(dl, "write_table" if broken_at == "rows" else "_list_files", fail)
+        with pytest.raises(OSError, match="lost"):
+            dl.ingest_delimited(spark, str(source), target, process_all=True)
+    dl.ingest_delimited(spark, str(source), target, process_all=True)
+    expected = [("in/2020Q1_0.csv", "a"), ("in/2020Q1_1.csv", "b"), ("in/2020Q3_1.csv", "c")]
+    assert loaded(spark, target) == expected
+    assert dl.recover(spark, target) == 0
+
+
+def test_small_files_are_packed(spark, tmp_path):
+    path = str(tmp_path / "_t")
+    rows = spark.range(0, 40_000, 1, 20).selectExpr(
+        "id", "sha2(CAST(id AS STRING), 256) AS h", "IF(id % 10 = 0, 'b', 'a') AS g"
+    )
+    tb.write_table(rows, path, ["g"])
+    before = {f.parent.name: [] for f in (tmp_path / "_t").glob("g=*/*.parquet")}
+    for f in (tmp_path / "_t").glob("g=*/*.parquet"):
+        before[f.parent.name].append(f.stat().st_size)
+    goal = sum(before["g=a"]) // 4
+    report = {r["g"]: r for r in tb.compact_table(spark, path, ["g"], goal).collect()}
+    assert report["a"]["files"] == 20 and report["a"]["bytes"] == sum(before["g=a"])
+    after = {g: [f.stat().st_size for f in (tmp_path / "_t" / g).glob("*.parquet")] for g in before}
+    assert len(after["g=a"]) == report["a"]["wanted"] and len(after["g=b"]) == 1
+    assert max(after["g=a"]) <= 1.5 * goal
+    assert spark.read.parquet(path).selectExpr("count(*)", "sum(id)", "count(DISTINCT h)").first() == (
+        40_000, 799_980_000, 40_000,
+    )
+    assert tb.compact_table(spark, path, ["g"], goal).count() == 0
