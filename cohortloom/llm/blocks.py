@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -36,7 +36,7 @@ PUNCTUATION = np.ones(256, bool)
 PUNCTUATION[48:58] = PUNCTUATION[65:91] = PUNCTUATION[97:123] = PUNCTUATION[128:] = False
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2048, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2048, size: str = "4m") -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
