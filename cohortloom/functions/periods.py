@@ -27,10 +27,21 @@ def parse_period(col: Column, fmt: str = "MMyyyy") -> Column:
     """First day of the period named by a text, NULL for anything malformed."""
     if fmt not in _SIX_DIGITS:
         return F.try_to_date(col, fmt).cast("timestamp_ntz")
-    shape, month_at, year_at = _SIX_DIGITS[fmt]
+    return F.when(col.rlike(_SIX_DIGITS[fmt][0]), _first_day(col, fmt)).cast("timestamp_ntz")
+
+
+def valid_period(col: Column, fmt: str = "MMyyyy") -> Column:
+    """`parse_period` for rows that passed `is_period`: the text is not matched again."""
+    if fmt not in _SIX_DIGITS:
+        return parse_period(col, fmt)
+    return _first_day(col, fmt).cast("timestamp_ntz")
+
+
+def _first_day(col: Column, fmt: str) -> Column:
+    _, month_at, year_at = _SIX_DIGITS[fmt]
     month = F.substring(col, month_at, 2).try_cast("int")
     year = F.substring(col, year_at, 4).try_cast("int")
-    return F.when(col.rlike(shape), F.make_date(year, month, F.lit(1))).cast("timestamp_ntz")
+    return F.make_date(year, month, F.lit(1))
 
 
 def yyyymm(col: Column) -> Column:

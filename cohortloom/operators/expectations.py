@@ -6,10 +6,11 @@ Columns: check, subject, severity ('error' or 'warning'), status ('pass' or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortloom.sources.inventory import list_files
@@ -120,6 +121,82 @@ def expect_outputs(spark, root: str, expected: Sequence[str], severity: str = "e
     return found.select(*row)
 
 
+@dataclass(frozen=True)
+class Between:
+    """As `expect_between`, for `write_checked`."""
+
+    column: str
+    low: float
+    high: float
+    severity: str = "error"
+
+
+@dataclass(frozen=True)
+class MinRows:
+    """As `expect_min_rows`."""
+
+    minimum: int
+    severity: str = "error"
+
+
+@dataclass(frozen=True)
+class Total:
+    """The values of a column add up to a known number, within the tolerance of shares."""
+
+    column: str
+    expected: float
+    severity: str = "warning"
+
+
+Check = Between | MinRows | Total
+
+
+def _metrics(check: Check, i: int) -> list[Column]:
+    if isinstance(check, Between):
+        x = F.col(check.column)
+        off = F.count_if((x < check.low - TOLERANCE) | (x > check.high + TOLERANCE) | F.isnan(x))
+        return [off.alias(f"off_{i}"), F.count(x).alias(f"n_{i}")]
+    if isinstance(check, MinRows):
+        return [F.count("*").alias(f"n_{i}")]
+    return [F.coalesce(F.sum(F.col(check.column).cast("double")), F.lit(0.0)).alias(f"sum_{i}")]
+
+
+def _judged(check: Check, i: int, subject: str, got: dict) -> tuple:
+    if isinstance(check, Between):
+        passed = got[f"off_{i}"] == 0 and got[f"n_{i}"] > 0
+        row = ("between", f"{subject}.{check.column}", passed, got[f"off_{i}"], 0)
+    elif isinstance(check, MinRows):
+        row = ("min_rows", subject, got[f"n_{i}"] >= check.minimum, got[f"n_{i}"], check.minimum)
+    else:
+        total = got[f"sum_{i}"]
+        passed = abs(total - check.expected) <= SHARE_TOLERANCE
+        row = ("total", f"{subject}.{check.column}", passed, total, check.expected)
+    name, what, passed, observed, expected = row
+    return name, what, check.severity, "pass" if passed else "fail", float(observed), float(expected), ""
+
+
+RESULT_SCHEMA = (
+    "check string, subject string, severity string, status string, observed double, expected double, detail string"
+)
+
+
+def write_checked(
+    df: DataFrame, write: Callable[[DataFrame], None], checks: Sequence[Check], subject: str
+) -> DataFrame:
+    """Write a table and check it in the same job: one row per check, in the usual columns.
+
+    The metrics are taken from the rows on their way to `write`, which must run
+    one job over all of them; the table is not read again. Checks that need
+    groups (`expect_group_sum`) stay with the stored table.
+    """
+    watch = Observation()
+    measures = [m for i, check in enumerate(checks) for m in _metrics(check, i)]
+    write(df.observe(watch, *measures) if measures else df)
+    got = watch.get if measures else {}
+    rows = [_judged(check, i, subject, got) for i, check in enumerate(checks)]
+    return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+
+
 def run_expectations(results: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), results)
 

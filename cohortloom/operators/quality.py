@@ -90,6 +90,35 @@ def value_counts(
     return ordered if k is None else ordered.limit(k)
 
 
+def heavy_hitters(
+    df: DataFrame, column: str, k: int = 30, buckets: int = 1 << 16, probes: int = 256
+) -> DataFrame:
+    """`value_counts` of the k most frequent values, without shuffling all different values.
+
+    Every value belongs to a bucket by its hash, and occurs at most as often as
+    its bucket holds rows. One pass counts the buckets (a fixed number of
+    counters per task). The values of the `probes` fullest buckets are counted;
+    the k-th of them bounds the k-th of all from below. A value of a bucket with
+    fewer rows than that bound cannot be among the k, so only the values of the
+    other buckets are counted, exactly. Where all values are about equally
+    frequent nothing can be left out, and all are counted.
+    """
+    values = df.select(F.col(column).alias("value")).withColumn(
+        "_bucket", F.pmod(F.xxhash64(F.col("value")), F.lit(buckets)).cast("int")
+    )
+    sizes = values.groupBy("_bucket").count().orderBy(F.desc("count")).collect()  # one row per bucket
+    first = [r["_bucket"] for r in sizes[:probes]]
+
+    def counts(chosen: Sequence[int]) -> DataFrame:
+        rows = values.where(F.col("_bucket").isin(list(chosen))) if len(chosen) < len(sizes) else values
+        return rows.groupBy("value").agg(F.count("*").alias("n"))
+
+    found = counts(first).orderBy(F.desc("n")).limit(k).collect()
+    least = found[-1]["n"] if len(found) == k else 0
+    reach = [r["_bucket"] for r in sizes if r["count"] >= least]
+    return counts(reach).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(k)
+
+
 def merge_counts(parts: Sequence[DataFrame]) -> DataFrame:
     """Counts from several sources added up by value; absent values count 0."""
     together = reduce(lambda a, b: a.unionByName(b), parts)

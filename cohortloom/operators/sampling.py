@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.hashing import ORDER_BITS, hash_bucket, hash_order
@@ -80,6 +80,27 @@ def sample_rows(
     return below.unionByName(rest).drop("_order")
 
 
+def sample_strata(
+    df: DataFrame,
+    strata: Sequence[str],
+    n: int,
+    keys: Sequence[str],
+    seed: int = 42,
+    portable: bool = False,
+) -> DataFrame:
+    """The `n` rows of every stratum (all, if fewer) whose keys have the smallest hashes.
+
+    A reservoir that can be merged: the sample of several parts' samples is the
+    sample of the whole, whatever the parts. Each task keeps n rows per stratum
+    before the shuffle, so a stratum with most of the rows costs no more than
+    others. The keys must tell rows apart.
+    """
+    order = Window.partitionBy(*strata).orderBy("_order", *keys)
+    hashed = df.withColumn("_order", hash_order([F.col(k) for k in keys], seed, portable))
+    placed = hashed.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
+    return placed.drop("_order", "_place")
+
+
 def split_rows(
     df: DataFrame,
     keys: Sequence[str],

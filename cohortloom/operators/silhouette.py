@@ -10,13 +10,17 @@ memory per task is fixed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.lloyd import SLOT_SCHEMA, matrix, packed, slots, squared_distances
+from cohortloom.operators.sampling import sample_strata
 from cohortloom.operators.tidy import broadcast_rows
 
 BLOCK_ROWS = 1024
@@ -150,3 +154,68 @@ def silhouette(
     counts = slots.groupBy("labelling").agg(F.count("*").alias("n_clusters"))
     means = per_row.groupBy("labelling").agg(F.avg("silhouette").alias("silhouette"))
     return means.join(counts, "labelling").select("labelling", "n_clusters", "silhouette")
+
+
+def silhouette_estimate(
+    df: DataFrame,
+    key: str,
+    features: str | Sequence[str],
+    label: str,
+    per_cluster: int = 200,
+    seed: int = 42,
+) -> DataFrame:
+    """Euclidean silhouette from a sample of each cluster: (cluster, n_rows, n_sampled, silhouette, std_error).
+
+    The sampled rows' silhouettes are exact: every row of the table adds its
+    distances to them, in one linear pass. Only the mean over a cluster is an
+    estimate, with the standard error of a sample without replacement (0 where a
+    cluster is taken whole). The row with cluster NULL is the mean over all rows.
+    Rows without a label take no part. The sample, `per_cluster` rows for each of
+    the clusters, is held by the driver and every task. The key identifies a row;
+    pass a stored table.
+    """
+    spark = df.sparkSession
+    rows = df.dropna(subset=[label]).select(
+        F.col(key).alias("key"), _as_array(features).alias("x"), F.col(label).alias("cluster")
+    )
+    sizes = rows.groupBy("cluster").count().orderBy("cluster").collect()
+    number = {r["cluster"]: i for i, r in enumerate(sizes)}
+    schema = f"cluster {dict(df.dtypes)[label]}, n_rows bigint, n_sampled bigint, silhouette double, std_error double"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    taken = sample_strata(rows, ["cluster"], per_cluster, ["key"], seed).collect()
+    middle = np.mean([r["x"] for r in taken], axis=0)
+    points = np.array([r["x"] for r in taken]) - middle
+    own = np.array([number[r["cluster"]] for r in taken])
+    n, s = len(sizes), len(taken)
+    sent = spark.sparkContext.broadcast((points, middle, number))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, middle, number = sent.value
+        whole = np.zeros((n, s))
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                far = np.sqrt(squared_distances(matrix(part.column(0)) - middle, points))
+                member = np.zeros((part.num_rows, n))
+                member[np.arange(part.num_rows), [number[c] for c in part.column(1).to_pylist()]] = 1.0
+                whole += member.T @ far
+        yield packed(whole.ravel())
+
+    total = slots(rows.select("x", "cluster").mapInArrow(add, SLOT_SCHEMA), n * s).reshape(n, s)
+    size = np.array([r["count"] for r in sizes], float)
+    mine = np.arange(n)[:, None] == own
+    inside = (total * mine).sum(axis=0) / np.maximum(size[own] - 1, 1)
+    outside = np.where(mine, np.inf, total / size[:, None]).min(axis=0) if n > 1 else inside
+    widest = np.maximum(inside, outside)
+    score = np.where((widest > 0) & (size[own] > 1), (outside - inside) / np.where(widest > 0, widest, 1), 0.0)
+    found, mean, variance = [], 0.0, 0.0
+    for r, i in zip(sizes, range(n)):
+        part = score[own == i]
+        left = 1.0 - len(part) / size[i]
+        error = math.sqrt(part.var(ddof=1) / len(part) * max(left, 0.0)) if len(part) > 1 else 0.0
+        found.append((r["cluster"], int(size[i]), len(part), float(part.mean()), error))
+        weight = size[i] / size.sum()
+        mean, variance = mean + weight * float(part.mean()), variance + (weight * error) ** 2
+    found.append((None, int(size.sum()), s, float(mean), math.sqrt(variance)))
+    return spark.createDataFrame(found, schema)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.periods import is_period, parse_period
+from cohortloom.functions.periods import is_period, valid_period
 from cohortloom.operators.features import entity_features
 from cohortloom.roles import Roles
 
@@ -160,7 +160,7 @@ def panel(spark: SparkSession, sf_dir: str, orders: bool = False) -> DataFrame:
     """The typed panel: rows with a readable period text, under panel names."""
     period = F.col("period_raw")
     rows = base_rows(spark, sf_dir, orders).where(is_period(period))
-    dated = rows.withColumn("period_date", parse_period(period))
+    dated = rows.withColumn("period_date", valid_period(period))
     named = {n: p for n, p in PREFIXED.items() if n in rows.columns}
     return dated.withColumnsRenamed(named)
 
