@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import to_double
 from cohortloom.operators.expectations import expect_outputs
 from cohortloom.operators.shape import with_partition_columns
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
-from cohortloom.plans.star_panel import BASE_SQL, table, text_rows
+from cohortloom.plans.star_panel import BASE_SQL, base_rows, table, text_rows
 from cohortloom.session import scratch_path
 from cohortloom.sources import delimited as dl
 from cohortloom.sources import inventory as inv
@@ -39,55 +40,85 @@ def _members(spark, sf_dir) -> str:
     return target
 
 
-def _member_files(spark, sf_dir):
-    """The inventory of the members, with year and quarter from their folders."""
-    files = inv.list_files(spark, _members(spark, sf_dir), "*.csv")
-    member = inv.partition_value(F.col("path"), "member")
-    return files.select(
-        "path",
-        member.alias("file"),
-        "bytes",
-        F.substring(member, 1, 4).alias("year"),
-        F.substring(member, 5, 2).alias("period"),
-    )
+_LINE_BYTES = 32
 
 
-@query(
-    f"WITH {BASE_SQL} SELECT year || quarter AS member, CAST(year AS VARCHAR) AS year,"
-    " CASE quarter WHEN 'Q4' THEN 'unknown_period' ELSE quarter END AS period,"
-    " TRUE AS has_bytes FROM base GROUP BY year, quarter"
+def _sized_files(spark, sf_dir, place: str) -> str:
+    """A folder with one file per quarter: a line of 32 bytes for each different ship day.
+
+    `place` is where a quarter's file goes, with {y} and {q}; the sizes follow a
+    rule that SQL can state.
+    """
+    days = base_rows(spark, sf_dir).select("ship_ts", F.col("year").cast("string").alias("year"), "quarter").distinct()
+    line = F.rpad(F.date_format("ship_ts", "yyyy-MM-dd"), _LINE_BYTES - 1, ".")
+    member = F.concat("year", "quarter").alias("member")
+    raw, target = scratch_path(spark, "days"), scratch_path(spark, "sized")
+    lines = days.select(line.alias("line"), member)
+    lines.repartition("member").write.partitionBy("member").text(raw)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(raw).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in inv.list_files(spark, raw, "*.txt").collect():  # one file per quarter
+        named = found["path"].split("member=")[1]
+        goal = paths(f"{target}/" + place.format(y=named[:4], q=named[4:6]))
+        system.mkdirs(goal.getParent())
+        system.rename(paths(found["path"]), goal)
+    return target
+
+
+_SIZED_SQL = (
+    f"WITH {BASE_SQL}, files AS (SELECT CAST(year AS VARCHAR) AS year, quarter, year || quarter || '.txt' AS file,"
+    f" {_LINE_BYTES} * count(DISTINCT ship_ts) AS bytes,"
+    " CASE quarter WHEN 'Q4' THEN 'unknown_period' ELSE quarter END AS period FROM base GROUP BY ALL)"
 )
+_ANY_YEAR = r"((?:19|20)[0-9]{2})"
+
+
+def _inventory(spark, sf_dir):
+    return inv.file_inventory(spark, _sized_files(spark, sf_dir, "{y}{q}.txt"), year_pattern=_ANY_YEAR)
+
+
+@query(f"{_SIZED_SQL} SELECT file, bytes, year, period FROM files")
 def file_inventory(spark, sf_dir):
-    """Members found in a folder, with the year and period guessed from their names.
+    """Files found in a folder with their sizes, and the year and period guessed from their names.
 
     The guess knows the first three quarters only.
     """
-    files = _member_files(spark, sf_dir).groupBy("file").agg(F.sum("bytes").alias("bytes"))
-    folder = scratch_path(spark, "names")
-    # One small file per member, named by it: the inventory reads names and sizes only.
-    rows = files.select(F.col("file").alias("member"), F.col("bytes").cast("string").alias("line"))
-    rows.write.partitionBy("member").text(folder)
-    paths = inv.list_files(spark, folder, "*.txt").select(
-        inv.partition_value(F.col("path"), "member").alias("file"), "bytes"
-    )
-    found = inv.guessed(paths, year_pattern=r"((?:19|20)[0-9]{2})")
-    return found.select(
-        F.col("file").alias("member"), "year", "period", (F.col("bytes") > 0).alias("has_bytes")
-    )
+    return _inventory(spark, sf_dir)
 
 
 @query(
-    f"WITH {BASE_SQL} SELECT CAST(year AS VARCHAR) AS year, quarter AS period, TRUE AS has_bytes,"
-    " TRUE AS gib_is_bytes FROM base GROUP BY year, quarter"
+    f"{_SIZED_SQL} SELECT year, period, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes,"
+    " round(sum(bytes) / 1073741824.0, 2) AS gib FROM files GROUP BY year, period"
 )
 def bytes_by_period(spark, sf_dir):
-    found = inv.bytes_by_period(_member_files(spark, sf_dir))
-    return found.select(
-        "year",
-        "period",
-        (F.col("bytes") > 0).alias("has_bytes"),
-        (F.abs(F.col("gib") * 2**30 - F.col("bytes")) <= 2**30 * 0.00501).alias("gib_is_bytes"),
-    )
+    return inv.bytes_by_period(_inventory(spark, sf_dir))
+
+
+@query(f"{_SIZED_SQL} SELECT row_number() OVER (ORDER BY bytes DESC, file) AS place, file, bytes FROM files"
+       " ORDER BY place LIMIT 5")
+def largest_files(spark, sf_dir):
+    """The five largest files, in the order of the report."""
+    top = inv.largest_files(_inventory(spark, sf_dir), 5)
+    order = Window.orderBy(F.desc("bytes"), "file")  # five rows
+    return top.select(F.row_number().over(order).cast("bigint").alias("place"), "file", "bytes")
+
+
+@query(
+    f"{_SIZED_SQL} SELECT year || quarter || '.parquet' AS file, year, quarter, bytes FROM files"
+)
+def manifest_files(spark, sf_dir):
+    """The files of a table's folders with partition values and sizes, from the listing alone."""
+    root = _sized_files(spark, sf_dir, "year={y}/quarter={q}/{y}{q}.parquet")
+    return inv.table_manifest(spark, root)
+
+
+@query(
+    f"{_SIZED_SQL} SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes,"
+    " round(sum(bytes) / 1073741824.0, 2) AS gib FROM files"
+)
+def manifest_sizes(spark, sf_dir):
+    root = _sized_files(spark, sf_dir, "year={y}/quarter={q}/{y}{q}.parquet")
+    return inv.manifest_summary(inv.table_manifest(spark, root))
 
 
 @query(
@@ -103,24 +134,6 @@ def largest_members(spark, sf_dir):
     return inv.largest_files(counts, 5).select(F.col("file").alias("member"), F.col("bytes").alias("n"))
 
 
-@query(
-    f"WITH {BASE_SQL} SELECT count(DISTINCT year || quarter) AS n_members, TRUE AS largest_first,"
-    " TRUE AS all_there FROM base"
-)
-def largest_files(spark, sf_dir):
-    """The largest member files: as many as asked for, none larger left out."""
-    files = _member_files(spark, sf_dir)
-    stored = files.groupBy("file").agg(F.sum("bytes").alias("bytes"))
-    n = stored.agg(F.count("*")).scalar()
-    top = inv.largest_files(stored, 3)
-    rest = stored.join(top, "file", "left_anti").agg(F.max("bytes")).scalar()
-    return top.agg(
-        F.max(n).alias("n_members"),
-        F.coalesce(F.min("bytes") >= F.max(rest), F.lit(True)).alias("largest_first"),
-        (F.count("*") == F.least(F.lit(3), F.max(n))).alias("all_there"),
-    )
-
-
 @query(
     f"WITH {BASE_SQL} SELECT '|' AS delimiter, 13 AS n_columns, count(*) AS n_lines FROM base"
 )
