@@ -348,3 +348,64 @@ def embedding_clusters(spark, sf_dir):
     found = cl.sweep({"embedding": (rows, "embedding")}, "vec_id", range(2, 7), n_init=1)
     space, k = cl.winner(found.report)
     return found.labels(space, k, "vec_id").withColumn("k", F.lit(k))
+
+
+# Three groups of parts that lie far apart, so that the best fit is known: the groups themselves.
+_GROUPS = {"line": ["far"], "plane": ["far", "wide"]}
+_GROUP_COLUMNS = {
+    "far": "CAST((p_size % 3) * (p_size % 3) * 1000 + p_size AS DOUBLE)",
+    "wide": "CAST(CASE p_size % 3 WHEN 2 THEN 3000 ELSE 0 END + p_size % 7 AS DOUBLE)",
+}
+
+
+def _groups_sql() -> str:
+    """CTE `scored`: rows (space, entity_id, g, cost, s) of the true groups in standardised spaces."""
+    columns = ", ".join(f"{e} AS {n}" for n, e in _GROUP_COLUMNS.items())
+    spaces = []
+    for space, names in _GROUPS.items():
+        values = ", ".join(f"({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER ()" for n in names)
+        spaces.append(f"SELECT '{space}' AS space, entity_id, g, [{values}] AS z FROM raw")
+    return (
+        "WITH raw AS (SELECT CAST(p_partkey AS VARCHAR) AS entity_id, p_size % 3 AS g,"
+        f" {columns} FROM part), spaced AS ({' UNION ALL '.join(spaces)}),"
+        " cells AS (SELECT space, g, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM spaced),"
+        " means AS (SELECT space, g, list(m ORDER BY i) AS m, list(t ORDER BY i) AS t, sum(p) AS p, max(n) AS n"
+        " FROM (SELECT space, g, i, avg(v) AS m, sum(v) AS t, sum(v * v) AS p, count(*) AS n FROM cells"
+        " GROUP BY ALL) GROUP BY space, g),"
+        " far AS (SELECT a.space, entity_id, a.g, b.g AS h, n,"
+        " n * list_inner_product(z, z) - 2 * list_inner_product(z, t) + p AS total,"
+        " power(list_distance(z, m), 2) AS square FROM spaced a JOIN means b ON a.space = b.space),"
+        " ab AS (SELECT space, entity_id, g, max(CASE WHEN g = h THEN total / (n - 1) END) AS a,"
+        " min(CASE WHEN g <> h THEN total / n END) AS b, max(CASE WHEN g = h THEN square END) AS cost"
+        " FROM far GROUP BY space, entity_id, g),"
+        " scored AS (SELECT space, entity_id, g, cost, (b - a) / greatest(a, b) AS s FROM ab)"
+    )
+
+
+def _group_sweep(spark, sf_dir):
+    columns = [F.expr(e).alias(n) for n, e in _GROUP_COLUMNS.items()]
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), *columns)
+    stored = materialise(parts, "groups")
+    return cl.sweep({s: (stored, names) for s, names in _GROUPS.items()}, "entity_id", range(2, 5), n_init=3)
+
+
+@query(
+    f"{_groups_sql()} SELECT space, CAST(3 AS INTEGER) AS k, {rounded_sql('avg(s)')} AS silhouette,"
+    f" {rounded_sql('sum(cost)', 4)} AS cost, count(*) AS n_scored FROM scored GROUP BY space"
+)
+def group_sweep_winners(spark, sf_dir):
+    """The best k of two spaces, with its score and cost, where the best fit is known."""
+    found = cl.best_per_group(_group_sweep(spark, sf_dir).report)
+    return found.select(
+        "space", "k", rounded("silhouette").alias("silhouette"), rounded("cost", 4).alias("cost"), "n_scored"
+    )
+
+
+@query(
+    f"{_groups_sql()}, ranked AS (SELECT g, CAST(row_number() OVER (ORDER BY count(*) DESC, g) - 1 AS INTEGER)"
+    " AS cluster FROM scored WHERE space = 'plane' GROUP BY g)"
+    " SELECT entity_id, cluster FROM scored JOIN ranked USING (g) WHERE space = 'plane'"
+)
+def group_sweep_labels(spark, sf_dir):
+    """Labels of all rows by the sweep's own fit, clusters numbered by size."""
+    return _group_sweep(spark, sf_dir).labels("plane", 3, "entity_id")

@@ -407,6 +407,27 @@ def latent_projection(spark, sf_dir):
     return lat.pca_scores(z, "vec_id", fit).select("*", *shares)
 
 
+@query(
+    "WITH cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i"
+    " FROM embeddings), moments AS (SELECT i, avg(x) AS m, stddev_samp(x) AS s FROM cells GROUP BY i)"
+    " SELECT vec_id, " + rounded_sql("sum(power((x - m) / s, 2))", 5) + " AS energy, "
+    + rounded_sql("max(d)", 6) + " AS total_share FROM cells JOIN moments USING (i),"
+    " (SELECT CAST(1.0 AS DOUBLE) AS d) GROUP BY vec_id"
+)
+def latent_energy(spark, sf_dir):
+    """All components of the embeddings: turning the space keeps the length of every row."""
+    wide, names = _embedding_columns(spark, sf_dir)
+    z = materialise(ev.zscore_matrix(wide, "vec_id", names), "latent")
+    fit = lat.fit_pca(z, [f"z_{n}" for n in names])
+    scores = lat.pca_scores(z, "vec_id", fit)
+    squares = [F.col(c) * F.col(c) for c in scores.columns if c != "vec_id"]
+    energy = squares[0]
+    for square in squares[1:]:
+        energy = energy + square
+    total = F.lit(float(fit.ratios.sum()))
+    return scores.select("vec_id", rounded(energy, 5).alias("energy"), rounded(total).alias("total_share"))
+
+
 @query()
 def reconstruction_error(spark, sf_dir):
     """Five components of the embeddings and the error of leaving out the rest."""
