@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,18 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, n: str, spread: Column)
     met = met.join(far.hint("shuffle_hash"), same, "left")
     both = F.coalesce("__found", "__other")
     return met.select(*rows.columns, *(both[v].alias(v) for v in values))
+
+
+def meet(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """`rows` joined with a stored `lookup` that has one row per value of `keys`, and in `n` how often it occurs.
+
+    As in `attach`, the few values with very many rows are sent to every task, and
+    their rows stay where they are; only the other rows are shuffled.
+    """
+    keys = list(keys)
+    total = lookup.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > HOT_SHARE * total
+    few = F.broadcast(rows.sparkSession.createDataFrame(lookup.filter(hot).collect(), lookup.schema))
+    near = rows.join(few, keys)
+    far = rows.join(few.select(*keys), keys, "left_anti").join(lookup.filter(~hot), keys)
+    return near.unionByName(far)

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.llm.attach import meet
 from cohortloom.session import materialise
 
 _LINE_STEP = 4294967296
@@ -41,14 +42,14 @@ def _order(doc: Column, line: Column) -> Column:
 
 
 def _line_table(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """All plain lines: h1, h2 (two hashes), id, line_no, and up to four half keys."""
+    """All plain lines: h1, h2 (two hashes), id, mark (of the text), line_no, and up to four half keys."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.filter("id IS NOT NULL AND text IS NOT NULL")
-    lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = rows.select("id", F.hash("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.filter(F.col("line").rlike(r"\S"))
-    lines = lines.select("id", "line_no", plain(F.col("line")).alias("line"))
+    lines = lines.select("id", "mark", "line_no", plain(F.col("line")).alias("line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    lines = lines.select("id", "line_no", "line", n.cast("int").alias("n"))
+    lines = lines.select("id", "mark", "line_no", "line", n.cast("int").alias("n"))
     long = F.col("n") >= min_words - 1
 
     def half(size: str, side: int, when: Column) -> Column:
@@ -61,6 +62,7 @@ def _line_table(docs: DataFrame, key: str, text: str, min_words: int) -> DataFra
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit("again"), "line").alias("h2"),
         "id",
+        "mark",
         "line_no",
         half("n DIV 2", 0, F.lit(True)).alias("half_a"),
         half("n DIV 2", 1, F.lit(True)).alias("half_b"),
@@ -191,12 +193,14 @@ def _near_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, min_
 def duplicate_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8
 ) -> DataFrame:
-    """(id, line_nos): the numbers (from 0) of the lines to remove, per id with any.
+    """(id, mark, line_nos): the numbers (from 0) of the lines to remove, per text with any.
 
     Lines are ranked by id and number; of equal lines and of lines within one
     edit the earliest stays. Blank lines are never duplicates. Rows with NULL
     ids or texts take no part. Rows that repeat an id with an equal text are
-    treated alike, as one document.
+    treated alike, as one document; `mark`, a hash of the text, tells apart the
+    texts of one id. Equal lines with the same number in two texts of one id
+    are one place and both stay.
     """
     lines = materialise(_line_table(docs, key, text, min_words), "lines")
     # Few columns and plain numbers: equal lines are combined before the shuffle.
@@ -218,12 +222,18 @@ def duplicate_lines(
         .join(near, ["h1", "h2"], "left")
         .filter("n > 1 OR near")
     )
-    gone = (
-        lines.select("id", "line_no", "h1", "h2")
-        .join(touched, ["h1", "h2"])
-        .filter("near OR id <> first_id OR line_no <> first_no")
+    touched = materialise(touched, "touched-lines")
+    # Number and mark travel as one number through the shuffle.
+    low = F.col("mark").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    place = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(low)
+    placed = lines.select("id", place.alias("place"), "h1", "h2")
+    line_no = F.shiftright("place", 32).cast("int")
+    met = meet(placed, touched, ["h1", "h2"], "n").select(
+        "id", line_no.alias("line_no"), F.shiftright(F.shiftleft("place", 32), 32).cast("int").alias("mark"),
+        "near", "first_id", "first_no",
     )
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("line_nos"))
+    gone = met.filter("near OR id <> first_id OR line_no <> first_no")
+    return gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("line_nos"))
 
 
 def dedup_lines(
@@ -237,14 +247,15 @@ def dedup_lines(
 
     All rows and columns stay; a text whose lines all go becomes empty, a NULL
     text stays NULL, and a row with a NULL id keeps its text. A column with the
-    name `removed` is replaced. Repeated rows are changed alike. An empty table
+    name `removed` is replaced. Repeated rows are changed alike; a row that
+    repeats an id with another text only loses lines of its own. An empty table
     gives none.
     """
     rows = docs.drop(removed)
     gone = duplicate_lines(docs, key, text, min_words).select(
-        F.col("id").alias("__id"), F.col("line_nos").alias("__gone")
+        F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("line_nos").alias("__gone")
     )
-    own = F.col(key).cast("long") == F.col("__id")
+    own = (F.col(key).cast("long") == F.col("__id")) & (F.hash(F.col(text)) == F.col("__mark"))
     joined = rows.join(gone.hint("shuffle_hash"), own, "left")
     # As above: one split per text.
     lines = F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n"))

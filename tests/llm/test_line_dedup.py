@@ -93,3 +93,18 @@ def test_a_replaced_word_in_a_short_line_hides_no_later_witness(spark):
             docs = spark.createDataFrame(rows, "doc_id long, text string")
             got = {r["id"]: r["line_nos"] for r in line_dedup.duplicate_lines(docs).collect()}
             assert got == brute(rows) and sum(map(len, got.values())) == 1
+
+
+def test_texts_of_a_repeated_id_only_lose_lines_of_their_own(spark):
+    rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma\nX"), (2, "clean unique line\nY"), (2, "Z\nclean unique line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert texts == [(1, "alpha beta gamma"), (2, "X"), (2, "Z"), (2, "clean unique line\nY")]
+
+
+def test_a_very_common_line_is_met_by_broadcast_and_by_shuffle(spark):
+    hot = "this line is everywhere in the whole of the corpus"
+    rows = [(i, f"{hot}\nrare line {i // 2}\nown {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["id"]: r["line_nos"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == {i: ([0, 1] if i % 2 else [0]) for i in range(1, 3000)}
