@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.llm.attach import meet
 from cohortloom.llm.blocks import (
     LOWER,
     Block,
@@ -81,10 +82,12 @@ def units(block: Block, unit: str = "sentence"):
 
 
 def unit_table(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
-    """One row per unit with words: id, unit, start, end, n_words, h1, h2, again."""
-    taken = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """One row per unit with words: id, mark (of the text), unit, start, end, n_words, h1, h2, again."""
+    taken = docs.select(
+        F.col(key).cast("long").alias("id"), F.hash(F.col(text)).alias("mark"), F.col(text).alias("text")
+    )
     schema = (
-        "id long, unit int, start int, end int, n_words int, h1 long, h2 long, again boolean"
+        "id long, mark int, unit int, start int, end int, n_words int, h1 long, h2 long, again boolean"
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,7 @@ def unit_table(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
             full = n > 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    block.rows.column(0).take(pa.array(owner[full])),
+                    *(block.rows.column(c).take(pa.array(owner[full])) for c in (0, 1)),
                     pa.array(number[full].astype(np.int32)),
                     pa.array(start[full].astype(np.int32)),
                     pa.array(end[full].astype(np.int32)),
@@ -102,7 +105,7 @@ def unit_table(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
                     pa.array(two[full].view(np.int64)),
                     pa.array(again[full]),
                 ],
-                ["id", "unit", "start", "end", "n_words", "h1", "h2", "again"],
+                ["id", "mark", "unit", "start", "end", "n_words", "h1", "h2", "again"],
             )
 
     return taken.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, schema)
@@ -115,7 +118,10 @@ def repeated_spans(
     unit: str = "sentence",
     min_words: int = 25,
 ) -> DataFrame:
-    """(id, removed): the spans to remove from every text that has any, in order."""
+    """(id, mark, removed): the spans to remove from every text that has any, in order.
+
+    `mark`, a hash of the text, tells apart the texts of a repeated id.
+    """
     if unit not in UNITS:
         raise ValueError(f"unit must be one of {', '.join(UNITS)}")
     bounded_batches(docs.sparkSession)
@@ -124,22 +130,22 @@ def repeated_spans(
     first = (
         table.filter("NOT again")
         .groupBy("h1", "h2")
-        .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
         .filter("first_id < last_id")
-        .select("h1", "h2", "first_id")
+        .select("h1", "h2", "first_id", "n")
     )
-    shown = ["id", "unit", "start", "end", "n_words"]
-    others = table.filter("NOT again").join(first, ["h1", "h2"])
+    shown = ["id", "mark", "unit", "start", "end", "n_words"]
+    others = meet(table.filter("NOT again").drop("again"), materialise(first, "repeated-units"), ["h1", "h2"], "n")
     others = others.filter("id > first_id").select(*shown)
     found = others.union(table.filter("again").select(*shown)).distinct()
-    place = Window.partitionBy("id").orderBy("unit")
+    place = Window.partitionBy("id", "mark").orderBy("unit")
     runs = found.withColumn("run", F.col("unit") - F.row_number().over(place))
-    runs = runs.groupBy("id", "run").agg(
+    runs = runs.groupBy("id", "mark", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words")
     )
     runs = runs.filter(F.col("n_words") >= min_words)
     spans = F.sort_array(F.collect_list(F.struct("start", "end"))).cast(_SPANS)
-    return runs.groupBy("id").agg(spans.alias("removed"))
+    return runs.groupBy("id", "mark").agg(spans.alias("removed"))
 
 
 def drop_repeats(
@@ -154,13 +160,15 @@ def drop_repeats(
 
     All rows and columns stay. A NULL text stays NULL and has no spans; a text
     without words stays as it is. A row with a NULL id takes no part. Rows that
-    repeat an id and a text are changed alike. Columns with the names of the
+    repeat an id and a text are changed alike; a row that repeats an id with
+    another text is a text of its own. Columns with the names of the
     results are replaced. An empty table gives none.
     """
     rows = docs.drop(*names)
     gone = repeated_spans(docs, key, text, unit, min_words)
-    gone = gone.select(F.col("id").alias("__id"), F.col("removed").alias("__gone"))
-    joined = rows.join(gone, F.col(key).cast("long") == F.col("__id"), "left")
+    gone = gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__gone"))
+    own = (F.col(key).cast("long") == F.col("__id")) & (F.hash(F.col(text)) == F.col("__mark"))
+    joined = rows.join(gone, own, "left")
     none = F.array().cast(_SPANS)
     joined = joined.withColumn("__gone", F.coalesce("__gone", none))
     n = F.size("__gone")

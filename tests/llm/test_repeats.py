@@ -53,3 +53,13 @@ def test_odd_rows(spark):
     assert got[3]["text"] == "" and got[4]["text"] == " \n\t\n "
     assert got[5]["removed_spans"] == []
     assert repeats.drop_repeats(empty_docs(spark)).count() == 0
+
+
+def test_texts_of_a_repeated_id_only_lose_spans_of_their_own(spark):
+    rng = random.Random(8)
+    passage = " ".join(sentence(rng, 9).capitalize() + "." for _ in range(5))
+    other = " ".join(sentence(rng, 9).capitalize() + "." for _ in range(9))
+    rows = [(1, passage), (2, f"Start here. {passage} End there."), (2, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in repeats.drop_repeats(docs).collect())
+    assert got == sorted([(1, passage), (2, "Start here. End there."), (2, other)])
