@@ -239,25 +239,30 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Settings) -> DataFrame:
 def _rare_pairs(open_ids: DataFrame, texts: DataFrame, how: Settings) -> DataFrame:
     """Pairs of open ids in different components that share one of their rarest shingles.
 
-    `open_ids` has id, n and component. How often a shingle occurs is counted
+    `open_ids` has id and component. How often a shingle occurs is counted
     among the open texts; any order that is the same for all would be right.
+    Every text of an id has its own ranks.
     """
-    schema = "id long, shingle long"
+    schema = "id long, mark long, n long, shingle long"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             hashes, counts = shingle_sets(block, how.words)
-            owner = np.repeat(np.arange(len(block)), counts)
+            owner = pa.array(np.repeat(np.arange(len(block)), counts))
             yield pa.RecordBatch.from_arrays(
-                [block.rows.column(0).take(pa.array(owner)), pa.array(hashes.view(np.int64))],
-                ["id", "shingle"],
+                [
+                    *(block.rows.column(c).take(owner) for c in (0, 1)),
+                    pa.array(np.repeat(counts, counts).astype(np.int64)),
+                    pa.array(hashes.view(np.int64)),
+                ],
+                ["id", "mark", "n", "shingle"],
             )
 
-    found = texts.join(open_ids.select("id"), "id", "left_semi").select("id", "text")
+    found = texts.join(open_ids.select("id"), "id", "left_semi").select("id", "mark", "text")
     found = materialise(found.mapInArrow(explode, schema), "open-shingles")
     often = found.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     ranked = found.join(often, "shingle", "left").fillna(1, ["often"])
-    order = Window.partitionBy("id").orderBy("often", "shingle")
+    order = Window.partitionBy("id", "mark").orderBy("often", "shingle")
     ranked = ranked.withColumn("place", F.row_number().over(order)).join(open_ids, "id")
     needed = F.floor((F.col("n") * how.percent + 99) / 100)
     rare = ranked.filter((F.col("place") <= F.col("n") - needed + 1) & (F.col("often") > 1))
@@ -327,13 +332,13 @@ def near_duplicates(
     small = reps.select("id", "n", "registers")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     wanted = shared.select("id").distinct()
-    texts = materialise(
-        texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts"
-    )
+    # An id may have several texts: each is compared, and a link of any is one of the id.
+    texts = texts.join(wanted, "id", "left_semi").withColumn("mark", F.xxhash64("text"))
+    texts = materialise(texts.dropDuplicates(["id", "mark"]), "candidate-texts")
     star = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     tried = checkpoint(star.distinct())
     links = checkpoint(_confirmed(_likely(tried, small, how), texts, how))
-    open_ids = _open_bands(shared, links).select("id", "n", "component").distinct()
+    open_ids = _open_bands(shared, links).select("id", "component").distinct()
     across = _rare_pairs(checkpoint(open_ids), texts, how).join(tried, ["a", "b"], "left_anti")
     more = _confirmed(_likely(checkpoint(across), small, how), texts, how)
     tied = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))

@@ -5,7 +5,7 @@ import numpy as np
 
 from cohortloom.llm import near_dedup
 from cohortloom.llm.graph import components
-from tests.llm.helpers import WORDS, empty_docs, odd_docs
+from tests.llm.helpers import WORDS, empty_docs, odd_docs, sentence
 
 
 def shingles(text, k):
@@ -129,3 +129,16 @@ def test_small_sets_at_the_threshold_share_a_band():
         found = near_dedup.sketches(np.sort(sets, 1).ravel(), np.full(n, size), how.registers)
         keys.append(near_dedup.band_keys(found, how))
     assert (keys[0] == keys[1]).any(axis=1).all()
+
+
+def test_texts_of_a_repeated_id_are_sets_of_their_own(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(45)]
+    near = base[:44] + ["other"]
+    rows = [(2, sentence(rng, 60)), (2, " ".join(base)), (5, " ".join(near)), (7, sentence(rng, 40)), (2, sentence(rng, 9))]
+    for _ in range(3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = near_dedup.near_duplicates(docs).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in found} == {(2, 2), (5, 2), (7, 7)} and len(found) == 5
