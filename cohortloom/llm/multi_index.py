@@ -296,9 +296,9 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 20,
-    fraction: float = 0.5,
-    least_entries: int = 4000,
-    bucket_rows: int = 2048,
+    fraction: float = 0.7,
+    least_entries: int = 0,
+    bucket_rows: int = 8192,
     max_sample: int = 20_000,
     max_k: int = 64,
     seed: int = 5,
@@ -306,8 +306,8 @@ def nearest(
     """(query_id, rank, <key>, score): the k rows found nearest to every query row but itself.
 
     Queries are the rows of `vectors` for which `is_query` holds. A query visits
-    cells until they hold `fraction` of all entries, `least_entries` at least;
-    with a fraction of 1 the result is exact. Nearest first, ties to the smaller
+    cells until they hold `fraction` of all entries, twice the answer's length and
+    `least_entries` at least; with a fraction of 1 the result is exact. Nearest first, ties to the smaller
     id, ranks from 1; all candidates if there are fewer than k. NULL and zero
     vectors, those with NULL or non-finite components, and NULL ids take no
     part. Of an id with several vectors each is a candidate and a query. An
@@ -329,7 +329,7 @@ def nearest(
     )
     asked = asked.filter("query_id IS NOT NULL").distinct()
     distinct = found.join(asked.select("v1", "v2").distinct(), ["v1", "v2"], "left_semi")
-    wanted = max(least_entries, math.ceil(fraction * int(index.counts.sum())))
+    wanted = max(least_entries, 2 * (k + 1), math.ceil(fraction * int(index.counts.sum())))
     visits = _visits(distinct, index, wanted)
     buckets = placed.groupBy("bucket").agg(
         F.collect_list(F.struct("cell", "vec", "ids")).alias("rows")
