@@ -11,10 +11,12 @@ each is verified by an alignment within the band.
 Texts are compared in a plain form: letters in lower case, every run of white
 space and punctuation one blank. Reported places are code points of the original.
 
-Of an item longer than a window, an exact excerpt is found only from about 108
-plain characters on, and up to about 166 only if it lies well to the windows.
-Windows of 10-15, 20-23 and 30-31 characters have a bound below one, which is
-raised to one: matches within the edits that share no q-gram are lost there.
+Short windows take shorter q-grams, as long as the bound stays at least one, so no
+match within the edits is lost at any length. Windows overlap by half: an unchanged
+excerpt of `excerpt` plain characters or more lies in one of them with all its
+q-grams, so its region is found too. Regions that fail the alignment as a whole are
+looked through for such an unchanged run. (Excerpts with edits are found only where
+they cover a window.)
 
 The benchmark is the stated query set. It is taken in blocks of bounded size,
 and every block passes over all texts; texts are never shuffled.
@@ -47,19 +49,28 @@ _FILTER_BITS = 22
 
 @dataclass(frozen=True)
 class Settings:
-    """q-gram length, edits per hundred characters, window length and step, in characters."""
+    """q-gram length, edits per hundred characters, window length and step, in characters.
+
+    An item is found in part from `excerpt` unchanged characters on; that needs
+    excerpt <= window - step + 1.
+    """
 
     q: int = 8
     percent: int = 10
     window: int = 120
     step: int = 60
+    excerpt: int = 60
     block_chars: int = 2_000_000
 
     def edits(self, m):
         return m * self.percent // 100
 
-    def bound(self, m):
-        return np.maximum(m + 1 - self.q * (self.edits(m) + 1), 1)
+    def gram(self, m: int) -> int:
+        """The longest q-gram up to `q` for which a window of m characters has a bound of one or more."""
+        return max(min(self.q, m // (self.edits(m) + 1)), 1)
+
+    def bound(self, m, q):
+        return m + 1 - q * (self.edits(m) + 1)
 
 
 def _apart_table() -> np.ndarray:
@@ -95,8 +106,9 @@ def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Index:
-    """Windows of one block of the benchmark and their q-grams, sorted by hash."""
+    """The windows of one block of the benchmark that take q-grams of one length, and these, sorted by hash."""
 
+    q: int
     items: np.ndarray
     windows: list[np.ndarray]
     sizes: np.ndarray
@@ -110,9 +122,9 @@ def _low_bits(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
 
 
-def index(item_ids: Sequence[int], texts: Sequence[str | None], how: Settings) -> Index | None:
-    """None if no text has a q-gram. Items shorter than q plain characters cannot be found."""
-    items, windows = [], []
+def index(item_ids: Sequence[int], texts: Sequence[str | None], how: Settings) -> list[Index]:
+    """One index for every length of q-grams. Items shorter than `q` plain characters cannot be found."""
+    by_gram: dict[int, list[tuple[int, np.ndarray]]] = {}
     for item, text in zip(item_ids, texts, strict=True):
         block = as_block(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"]))
         small = plain(block.data, block.offsets)[0]
@@ -123,14 +135,15 @@ def index(item_ids: Sequence[int], texts: Sequence[str | None], how: Settings) -
         for start in [*range(0, last, how.step), last]:
             part = small[start : start + how.window]
             if len(part) >= how.q:
-                items.append(item)
-                windows.append(part)
-    if not windows:
-        return None
+                by_gram.setdefault(how.gram(len(part)), []).append((item, part))
+    return [_index(q, *zip(*found, strict=True)) for q, found in sorted(by_gram.items())]
+
+
+def _index(q: int, items: Sequence[int], windows: Sequence[np.ndarray]) -> Index:
     hashes, window_of, place_of = [], [], []
     for i, part in enumerate(windows):
-        starts = np.arange(len(part) - how.q + 1)
-        hashes.append(span_hashes(part, starts, starts + how.q))
+        starts = np.arange(len(part) - q + 1)
+        hashes.append(span_hashes(part, starts, starts + q))
         window_of.append(np.full(len(starts), i))
         place_of.append(starts)
     hashes = np.concatenate(hashes)
@@ -138,8 +151,9 @@ def index(item_ids: Sequence[int], texts: Sequence[str | None], how: Settings) -
     maybe = np.zeros(1 << _FILTER_BITS, bool)
     maybe[_low_bits(hashes)] = True
     return Index(
+        q,
         np.array(items),
-        windows,
+        list(windows),
         np.array([len(x) for x in windows]),
         hashes[order],
         np.concatenate(window_of)[order],
@@ -150,18 +164,18 @@ def index(item_ids: Sequence[int], texts: Sequence[str | None], how: Settings) -
 
 def regions(found: Index, small: np.ndarray, at_text: np.ndarray, how: Settings):
     """(text, window, first diagonal) of every band with enough shared q-grams."""
-    n = len(small) - how.q + 1
+    n = len(small) - found.q + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none
     starts = np.arange(n)
-    hashes = span_hashes(small, starts, starts + how.q)
+    hashes = span_hashes(small, starts, starts + found.q)
     here = np.flatnonzero(found.maybe[_low_bits(hashes)])
     hashes = hashes[here]
     low = np.searchsorted(found.hashes, hashes)
     times = np.searchsorted(found.hashes, hashes, "right") - low
     text = np.searchsorted(at_text, here, "right") - 1
-    times[here + how.q > at_text[text + 1]] = 0
+    times[here + found.q > at_text[text + 1]] = 0
     entry = np.repeat(low, times) + ranges(times)
     window = found.window_of[entry]
     text = np.repeat(text, times)
@@ -175,7 +189,7 @@ def regions(found: Index, small: np.ndarray, at_text: np.ndarray, how: Settings)
     keys, counts = np.unique(np.concatenate((key, key - 1)), return_counts=True)
     pair = keys // span
     text, window = pair // len(found.windows), pair % len(found.windows)
-    good = counts >= how.bound(found.sizes[window])
+    good = counts >= how.bound(found.sizes[window], found.q)
     text, window = text[good], window[good]
     band = (keys % span)[good] - shift
     return text, window, band * (2 * how.edits(found.sizes[window]) + 1)
@@ -204,6 +218,30 @@ def align(
     return cost[np.arange(n), best], best + m
 
 
+def unchanged(patterns: np.ndarray, texts: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end) in `texts` of the longest runs, `least` characters or more, equal on one diagonal.
+
+    Row i of `patterns` (n, m) is laid at every place of row i of `texts`; per row
+    the run of the first such place counts.
+    """
+    n, m = patterns.shape
+    width = texts.shape[1] - m + 1
+    where = np.full((n, 2), -1)
+    for offset in range(width):
+        open_ = np.flatnonzero(where[:, 0] < 0)
+        differs = texts[open_, offset : offset + m] != patterns[open_]
+        sums = np.concatenate((np.zeros((len(open_), 1), np.int32), np.cumsum(differs, axis=1, dtype=np.int32)), axis=1)
+        clean = sums[:, least:] == sums[:, :-least]
+        hit = np.flatnonzero(clean.any(axis=1))
+        if len(hit):
+            first = clean[hit].argmax(axis=1)
+            rest = differs[hit] & (np.arange(m) >= first[:, None])
+            stop = np.where(rest.any(axis=1), rest.argmax(axis=1), m)
+            where[open_[hit]] = np.stack((offset + first, offset + stop), axis=1)
+    rows = np.flatnonzero(where[:, 0] >= 0)
+    return rows, where[rows, 0], where[rows, 1]
+
+
 def verified(found: Index, small, at_text, text, window, diagonal, how: Settings):
     """Of the regions, (text, window, start, end, edits) in plain places; others are dropped."""
     out = []
@@ -222,6 +260,12 @@ def verified(found: Index, small, at_text, text, window, diagonal, how: Settings
             patterns = np.stack([found.windows[w] for w in window[part]])
             edits, stop = align(patterns, texts)
             good = np.flatnonzero(edits <= k)
+            failed = np.flatnonzero(edits > k)
+            if m >= how.excerpt and len(failed):
+                for row, start, stop_at in zip(*unchanged(patterns[failed], texts[failed], how.excerpt), strict=True):
+                    j = part[failed[row]]
+                    at = int(base[failed[row]])
+                    out.append((int(text[j]), int(window[j]), at + int(start), at + int(stop_at), 0))
             if not len(good):
                 continue
             # The start: align backwards from the end, with room for k on both sides.
@@ -239,11 +283,10 @@ def verified(found: Index, small, at_text, text, window, diagonal, how: Settings
     return out
 
 
-def _merged(hits, found: Index) -> dict[int, list[tuple[int, int, int, int]]]:
+def _merged(hits) -> dict[int, list[tuple[int, int, int, int]]]:
     """Overlapping or touching hits of one item in one text are one leak; its edits are the most of a window."""
     by_text: dict[int, list[tuple[int, int, int, int]]] = {}
-    hits = sorted((t, int(found.items[w]), s, e, k) for t, w, s, e, k in hits)
-    for t, item, start, end, edits in hits:
+    for t, item, start, end, edits in sorted(hits):
         own = by_text.setdefault(t, [])
         if own and own[-1][0] == item and start <= own[-1][2] + 1:
             last = own[-1]
@@ -253,7 +296,7 @@ def _merged(hits, found: Index) -> dict[int, list[tuple[int, int, int, int]]]:
     return by_text
 
 
-def _one_pass(docs: DataFrame, text: str, name: str, found: Index, how: Settings) -> DataFrame:
+def _one_pass(docs: DataFrame, text: str, name: str, found: list[Index], how: Settings) -> DataFrame:
     kept = [c for c in docs.columns if c != name]
     before = F.col(name) if name in docs.columns else F.lit(None).cast(ArrayType(HIT))
     taken = docs.select(*kept, F.col(text).alias("__text"), before.alias("__before"))
@@ -267,11 +310,15 @@ def _one_pass(docs: DataFrame, text: str, name: str, found: Index, how: Settings
         found = sent.value
         for block in blocks(batches, "__text"):
             small, at_text, at, begins = plain(block.data, block.offsets)
-            text, window, diagonal = regions(found, small, at_text, how)
-            hits = verified(found, small, at_text, text, window, diagonal, how) if len(text) else []
+            hits = []
+            for one in found:
+                place = regions(one, small, at_text, how)
+                if len(place[0]):
+                    leaks = verified(one, small, at_text, *place, how)
+                    hits += [(t, int(one.items[w]), s, e, k) for t, w, s, e, k in leaks]
             old = block.rows.column(len(kept) + 1).to_pylist()
             lists = [x or [] for x in old]
-            for i, leaks in _merged(hits, found).items():
+            for i, leaks in _merged(hits).items():
                 for item, start, end, edits in leaks:
                     first = int(at[at_text[i] + start] - begins[i])
                     last = int(at[at_text[i] + end - 1] - begins[i]) + 1
@@ -314,7 +361,7 @@ def leaks(
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == i).collect()
         part.sort(key=lambda r: (r["item"] is not None, r["item"], r["text"]))
         found = index([r["item"] if r["item"] is not None else -1 for r in part], [r["text"] for r in part], how)
-        if found is not None:
+        if found:
             out = _one_pass(out, text, name, found, how)
     if name not in out.columns:
         out = out.withColumn(name, F.array().cast(ArrayType(HIT)))

@@ -91,3 +91,48 @@ def test_align_counts_edits():
     for text, edits in ((b"xxabcdefxx", 0), (b"xxabXdefxx", 1), (b"xxabdefxxx", 1), (b"xxabcYdefx", 1), (b"zzzzzzzzzz", 6)):
         row = np.frombuffer(text, np.uint8)[None, :].astype(np.uint32)
         assert decontaminate.align(pattern, row)[0][0] == edits
+
+
+def test_no_match_within_the_edits_is_lost_at_any_length(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop"
+    items = ["".join(rng.choice(letters) for _ in range(m)) for m in range(8, 41)]
+    rows = []
+    for i, item in enumerate(items):
+        for r in range(12):
+            text = list(item)
+            # Spread edits break as many q-grams as they can.
+            k = len(item) // 10 + (r == 11)
+            for e in range(k):
+                at = min((2 * e + 1) * len(text) // (2 * k), len(text) - 1)
+                text[at : at + 1] = rng.choice(["Z", "", text[at] + "Z"]).lower()
+            rows.append((100 * i + r, f"zz {''.join(text)} zz"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in hits(docs, benchmark)}
+    for d, text in rows:
+        item = items[d // 100]
+        assert ((d, d // 100) in got) == (edit_distance(item, text) <= len(item) // 10), (item, text)
+
+
+def test_every_unchanged_excerpt_is_found_from_the_stated_length_on(spark):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnop    "
+    item = " ".join("".join(rng.choice(letters) for _ in range(420)).split())
+    rows = []
+    for n in (59, 60, 61, 80, 100, 107, 120, 150):
+        for start in range(0, len(item) - n, 7):
+            rows.append((len(rows), n, start, f"0123 {item[start:start + n]} 4567"))
+    docs = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, sentence(rng, 90))], "item_id long, text string")
+    got = {}
+    for r in hits(docs, benchmark):
+        got.setdefault(r["doc_id"], []).append(r)
+    for d, n, start, text in rows:
+        # A blank at an end of the excerpt meets one of the text.
+        real = len(item[start : start + n].strip())
+        if real >= 60:
+            assert len(got[d]) == 1 and got[d][0]["item_id"] == 1, (n, start)
+            assert got[d][0]["end"] - got[d][0]["start"] >= min(real, 60)
+        elif real + 2 < 60:
+            assert d not in got
