@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,30 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED = "cohortloom.zip"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Operators that run in workers are found there by name. Where the package is
+    installed on every node (see `pyproject.toml`) this changes nothing. The
+    archive is made in the driver's temporary folder; Spark hands it out.
+    """
+    context = spark.sparkContext
+    if any(name.endswith(_SHIPPED) for name in context.listFiles):
+        return
+    source = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="cohortloom-package-")) / _SHIPPED
+    with zipfile.ZipFile(archive, "w") as made:
+        for module in sorted(source.rglob("*.py")):
+            made.write(module, module.relative_to(source.parent))
+    context.addPyFile(str(archive))
 
 
 def scratch_root(spark: SparkSession) -> str:
