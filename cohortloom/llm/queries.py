@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,6 +129,8 @@ def op3_near_duplicates(spark, sf_dir):
 
 @query()
 def op7_best_fit_packing(spark, sf_dir):
+    import public_tokenizers  # only this operator needs it
+
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
