@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import warnings
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +57,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences."""
+    import public_tokenizers  # only this stage needs it
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
