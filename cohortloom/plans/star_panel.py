@@ -36,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _columns() -> dict:
     quantity, discount, tax = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     price, line = F.col("l_extendedprice"), F.col("l_linenumber")
+    # As a date format would give it, in plain arithmetic.
+    month = F.lpad(F.month("l_shipdate").cast("string"), 2, "0")
     return {
         "entity_id": F.col("l_partkey").cast("string"),
-        "period_raw": F.when(quantity == 50, "").otherwise(F.date_format("l_shipdate", "MMyyyy")),
+        "period_raw": F.when(quantity == 50, "").otherwise(F.concat(month, F.year("l_shipdate").cast("string"))),
         "year": F.year("l_shipdate").cast("bigint"),
         "quarter": F.concat(F.lit("Q"), F.quarter("l_shipdate").cast("string")),
         "flag": F.col("l_returnflag"),
