@@ -24,6 +24,8 @@ from cohortloom.operators.sampling import sample_strata
 from cohortloom.operators.tidy import broadcast_rows
 
 BLOCK_ROWS = 1024
+# Above this the distances of all pairs are refused unless asked for.
+MAX_EXACT_ROWS = 1_000_000
 
 
 def _distance_sums(n_clusters: int):
@@ -80,6 +82,7 @@ def silhouette(
     labels: Sequence[str],
     block_rows: int = BLOCK_ROWS,
     per_point: bool = False,
+    max_rows: int | None = MAX_EXACT_ROWS,
 ) -> DataFrame:
     """Mean silhouette of each labelling: rows `(labelling, n_clusters, silhouette)`.
 
@@ -87,7 +90,9 @@ def silhouette(
     label columns. The distances are computed once for all labellings. The key
     identifies a row. A point alone in its cluster scores 0. `per_point`
     returns `(key, labelling, cluster, silhouette)` instead. The input is read
-    several times: pass a stored table.
+    several times: pass a stored table. Tables of more than `max_rows` rows are
+    an error, as the work grows with their square: `silhouette_estimate` is for
+    them. None lifts the bound.
     """
     df = df.dropna(subset=list(labels))
     # Clusters per labelling: a small report. It gives every (labelling,
@@ -99,6 +104,8 @@ def silhouette(
     sizes = sizes.orderBy("labelling", "cluster").collect()
     slot_of = {(r["labelling"], r["cluster"]): i for i, r in enumerate(sizes)}
     n = sum(r["count"] for r in sizes if r["labelling"] == labels[0])
+    if max_rows is not None and n > max_rows:
+        raise ValueError(f"{n} rows are too many for all pairs; use silhouette_estimate, or max_rows=None")
     blocks = max(1, math.ceil(n / block_rows))
 
     def slot(c: str):

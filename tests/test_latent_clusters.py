@@ -151,6 +151,14 @@ def test_silhouette_of_identical_points(spark):
     assert silhouette(table, "id", "x", ["c"]).first()["silhouette"] == 0.0
 
 
+def test_all_pairs_of_a_large_table_are_refused(spark):
+    rows = [(i, [float(i)], i % 2) for i in range(30)]
+    table = spark.createDataFrame(rows, "id long, x array<double>, c int")
+    with pytest.raises(ValueError, match="silhouette_estimate"):
+        silhouette(table, "id", "x", ["c"], max_rows=29)
+    assert silhouette(table, "id", "x", ["c"], max_rows=30).count() == 1
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rng = np.random.default_rng(1)
