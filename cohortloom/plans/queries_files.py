@@ -13,6 +13,7 @@ from cohortloom.plans.star_panel import BASE_SQL, base_rows, table, text_rows
 from cohortloom.session import scratch_path
 from cohortloom.sources import delimited as dl
 from cohortloom.sources import inventory as inv
+from cohortloom.sources.heads import read_heads
 from cohortloom.sources.tables import (
     gathered_by_partition,
     partition_counts,
@@ -143,6 +144,28 @@ def sniffed_layout(spark, sf_dir):
     return found.groupBy("delimiter", "n_columns").agg(F.sum("lines").alias("n_lines"))
 
 
+@query(
+    f"WITH {BASE_SQL} SELECT year || quarter AS member, '|' AS delimiter, 13 AS n_columns FROM base GROUP BY year, quarter"
+)
+def sniffed_heads(spark, sf_dir):
+    """Delimiter and width of every member from the first 4 KB of each file."""
+    files = inv.list_files(spark, _members(spark, sf_dir), "*.csv").where("bytes > 0")
+    paths = [r["path"] for r in files.select("path").collect()]  # one per member file
+    found = dl.sniff_layout(read_heads(spark, paths, 4096))
+    member = inv.partition_value(F.col("path"), "member").alias("member")
+    return found.select(member, "delimiter", "n_columns").distinct()
+
+
+@query(
+    f"WITH {BASE_SQL} SELECT CAST(year AS INTEGER) AS year, quarter, count(*) AS n_rows FROM base GROUP BY year, quarter"
+)
+def head_sniffed_load(spark, sf_dir):
+    """Members loaded with layouts from their heads: every row is there."""
+    target = scratch_path(spark, "bronze")
+    dl.ingest_delimited(spark, _members(spark, sf_dir), target, process_all=True, sniff_bytes=4096)
+    return partition_counts(scan_table(spark, target))
+
+
 @query(f"WITH {BASE_SQL} SELECT DISTINCT CAST(year AS INTEGER) AS year, quarter FROM base WHERE year >= 1998")
 def member_selection(spark, sf_dir):
     files = inv.list_files(spark, _members(spark, sf_dir))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortloom.functions.cleaning import NULL_TOKENS, tokens_to_null
+from cohortloom.sources.heads import read_heads
 from cohortloom.sources.inventory import (
     decoded_path,
     list_files,
@@ -203,6 +204,7 @@ def load_members(
     null_tokens: Iterable[str] = NULL_TOKENS,
     delimiter: str | None = None,
     width: int | None = None,
+    sniff_bytes: int | None = None,
 ) -> DataFrame:
     """Read member files and add their rows to `target/year=.../quarter=...`.
 
@@ -210,8 +212,9 @@ def load_members(
     the table holds already is replaced: its quarter is written again without
     its old rows. Files of one quarter may come in any number of loads. Files are
     read by one plan per distinct layout, not one job per file. Giving both
-    `delimiter` and `width` saves the pass over the text that detects them.
-    Returns the load log, one row per member; an empty file has 0 rows in it. One
+    `delimiter` and `width` saves the pass over the text that detects them;
+    `sniff_bytes` detects them from that much of each file's head (a longer row
+    further on is then an error of the load, not a wider layout). Returns the load log, one row per member; an empty file has 0 rows in it. One
     load at a time may run on a table.
     """
     started = time.time()
@@ -229,7 +232,8 @@ def load_members(
     if delimiter is not None and width is not None:
         layouts = {path_key(p): (delimiter, width) for p in paths}
     else:
-        sniffed = sniff_layout(read_lines(spark, paths)).collect()  # one row per file of this load
+        lines = read_lines(spark, paths) if sniff_bytes is None else read_heads(spark, paths, sniff_bytes)
+        sniffed = sniff_layout(lines).collect()  # one row per file of this load
         layouts = {r["path"]: (r["delimiter"], r["n_columns"]) for r in sniffed}
     by_layout: dict[tuple[str, int], list[str]] = {}
     for path in paths:

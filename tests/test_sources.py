@@ -3,6 +3,7 @@ import pytest
 from cohortloom import session
 from cohortloom.session import materialise, scratch_path, scratch_root
 from cohortloom.sources import delimited as dl
+from cohortloom.sources import heads
 from cohortloom.sources import inventory as inv
 from cohortloom.sources import tables as tb
 from cohortloom.streaming.arrivals import load_arrivals
@@ -215,3 +216,38 @@ def test_small_files_are_packed(spark, tmp_path):
         40_000, 799_980_000, 40_000,
     )
     assert tb.compact_table(spark, path, ["g"], goal).count() == 0
+
+
+def test_heads_give_the_layouts_of_whole_files_and_read_no_more(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b.csv").write_text("x|1|2\n" * 5000)
+    (tmp_path / "c.csv").write_bytes(b"p;q\r\nr;s")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "one.csv").write_text("k," * 9000)
+    paths = [r["path"] for r in inv.list_files(spark, str(tmp_path)).collect()]
+    whole = {r["path"]: (r["delimiter"], r["n_columns"]) for r in dl.sniff_layout(dl.read_lines(spark, paths)).collect()}
+    lines = heads.read_heads(spark, paths, 1000)
+    some = {r["path"]: (r["delimiter"], r["n_columns"], r["lines"]) for r in dl.sniff_layout(lines).collect()}
+    assert {p.rsplit("/", 1)[1]: v for p, v in some.items()} == {
+        "a b.csv": ("|", 3, 166), "c.csv": (";", 2, 2), "one.csv": (",", 501, 1),
+    }
+    assert {p: v[:2] for p, v in some.items() if "one" not in p} == {p: v for p, v in whole.items() if "one" not in p}
+    read = []
+
+    class Watched:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            self.stream.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.stream.read(n)
+
+    real = heads.open_file
+    monkeypatch.setattr(heads, "open_file", lambda path: Watched(real(path)))
+    assert len(heads.head_lines(str(tmp_path / "a b.csv"), 64)) == 10 and sum(read) == 65
+    assert heads.read_heads(spark, []).count() == 0
