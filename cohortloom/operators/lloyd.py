@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows of a space that are fetched for the starts, and starts tried on them.
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS = 4_096
 SAMPLE_STARTS = 4
 SAMPLE_ROUNDS = 25
 
