@@ -40,3 +40,5 @@ def test_held_out_separation(spark):
     clean = [r["score"] for r in found if r["toxic"] == 0]
     assert np.mean(np.array(toxic)[:, None] > np.array(clean)[None, :]) > 0.9
     assert np.mean(np.array(clean) >= 0.7) < 0.02
+    # With some 300 confirmed examples about seven in ten are found at the threshold.
+    assert np.mean(np.array(toxic) >= 0.7) > 0.6
