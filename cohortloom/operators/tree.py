@@ -8,6 +8,9 @@ of every smaller k.
 Where a row belongs follows from its vector alone: from the root it goes to the nearer
 of the two centres of each split. No labels are stored while the tree grows; all leaves
 that may be split next are fitted together, in one pass over the rows per round.
+
+Rows of one component need no sample: the best pair of clusters is the best cut of the
+sorted values, which is found over all of them.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.lloyd import (
@@ -31,6 +34,7 @@ from cohortloom.operators.lloyd import (
     slots,
     spread_starts,
 )
+from cohortloom.session import materialise
 
 # Rows of a leaf that are fetched for the starts of its split.
 LEAF_SAMPLE = 20_000
@@ -159,6 +163,55 @@ def _start(x: np.ndarray, seed: int, name: int) -> np.ndarray | None:
     return min(tried, key=lambda t: t[1])[0]
 
 
+def _line_values(points: DataFrame) -> DataFrame:
+    """The different values of rows of one component, stored in order: (v, c, part), c rows each."""
+    counted = points.groupBy(F.col("x")[0].alias("v")).agg(F.count("*").alias("c"))
+    ranges = counted.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    return materialise(ranges, "values")
+
+
+def _line_starts(values: DataFrame, tree: Tree, leaves: list[Node]) -> dict[int, np.ndarray]:
+    """The means on both sides of every leaf's best cut; on a tie the smaller cut.
+
+    Sums run within a range of values and go on from the totals of the ranges before it,
+    so no leaf is sorted as a whole.
+    """
+    sent = values.sparkSession.sparkContext.broadcast((tree, [n.name for n in leaves]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, names = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                at = tree.descend(batch.column(0).to_numpy()[:, None])
+                own = pa.array(np.flatnonzero(np.isin(at, names)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at).take(own), *(c.take(own) for c in batch.columns)], ["node", "v", "c", "part"]
+                )
+
+    placed = values.select("v", "c", "part").mapInArrow(place, "node long, v double, c long, part int")
+    total = F.sum(F.col("v") * F.col("c"))
+    ranges = placed.groupBy("node", "part").agg(F.sum("c").alias("n"), total.alias("t")).orderBy("part").collect()
+    n, t, before = {}, {}, []
+    for r in ranges:
+        before.append((r["node"], r["part"], n.get(r["node"], 0), t.get(r["node"], 0.0)))
+        n[r["node"]] = n.get(r["node"], 0) + r["n"]
+        t[r["node"]] = t.get(r["node"], 0.0) + r["t"]
+    rows = [(node, part, n0, t0, n[node], t[node]) for node, part, n0, t0 in before]
+    schema = "node long, part int, n0 long, t0 double, n long, t double"
+    offsets = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
+    upto = Window.partitionBy("node", "part").orderBy("v")
+    n1 = F.col("n0") + F.sum("c").over(upto)
+    t1 = F.col("t0") + total.over(upto)
+    cuts = placed.join(offsets, ["node", "part"]).withColumns({"n1": n1, "t1": t1}).where("n1 < n")
+    gain = F.col("t1") * F.col("t1") / F.col("n1") + F.pow(F.col("t") - F.col("t1"), 2) / (F.col("n") - F.col("n1"))
+    best = F.max(F.struct(gain.alias("gain"), (-F.col("v")).alias("last"), "n1", "t1", "n", "t")).alias("best")
+    found = {}
+    for r in cuts.groupBy("node").agg(best).collect():  # one row per leaf
+        b = r["best"]
+        found[r["node"]] = np.array([[b["t1"] / b["n1"]], [(b["t"] - b["t1"]) / (b["n"] - b["n1"])]])
+    return found
+
+
 def _fit_pairs(points: DataFrame, tree: Tree, pairs: dict[int, np.ndarray], rounds: int, tolerance: float) -> dict:
     """Settled centres, counts, sums and squares of the two halves of every leaf in `pairs`."""
     done: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -213,6 +266,7 @@ def grow(
     tree = Tree({1: root} if root else {})
     order = 0
     leaves = [root] if root else []
+    values = _line_values(points) if root and k > 1 and len(root.mean) == 1 else None
     while leaves and order < k - 1:
         left = k - 1 - order
         ranked = sorted((n for n in leaves if not n.whole), key=lambda n: (-n.cost, n.name))[:left]
@@ -220,9 +274,12 @@ def grow(
             break
         wanted = [n for n in ranked if n.centres is None]
         if wanted:
-            samples = _samples(points, tree, wanted)
-            pairs = {n.name: _start(samples.get(n.name, np.zeros((0, 1))), seed, n.name) for n in wanted}
-            pairs = {name: pair for name, pair in pairs.items() if pair is not None}
+            if values is not None:
+                pairs = _line_starts(values, tree, wanted)
+            else:
+                samples = _samples(points, tree, wanted)
+                pairs = {n.name: _start(samples.get(n.name, np.zeros((0, 1))), seed, n.name) for n in wanted}
+                pairs = {name: pair for name, pair in pairs.items() if pair is not None}
             done = _fit_pairs(points, tree, pairs, rounds, tolerance) if pairs else {}
             for n in wanted:
                 fit = done.get(n.name)

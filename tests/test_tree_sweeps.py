@@ -104,3 +104,19 @@ def test_tree_of_equal_rows_one_row_and_none(spark):
     assert grow(stored(spark, np.zeros((0, 2))), 3).nodes == {}
     zero = grow(stored(spark, np.zeros((3, 2))), 2)
     assert zero.nodes[1].size == 3
+
+
+@pytest.mark.parametrize("heavier", [-1.0, 1.0])
+def test_splits_of_one_column_are_its_best_cuts(spark, heavier):
+    """Three groups of nearly the same size: which side the middle one joins is no matter for a sample."""
+    rng = np.random.default_rng(3)
+    groups = np.concatenate((np.repeat([-1.0, 0.0, 1.0], 20_000), np.repeat(heavier, 30)))
+    x = np.round(groups + rng.uniform(-0.01, 0.01, len(groups)), 4)
+    tree = grow(stored(spark, x[:, None], name="line"), 4)
+    for node in tree.splits():
+        own = np.sort(x[tree.descend(x[:, None], node.order) == node.name])
+        n1, t1 = np.arange(1, len(own)), np.cumsum(own)[:-1]
+        gain = t1**2 / n1 + (own.sum() - t1) ** 2 / (len(own) - n1)
+        gain[np.diff(own) <= 0] = 0.0
+        cut = int(gain.argmax()) + 1
+        assert [tree.nodes[c].size for c in node.children] == [cut, len(own) - cut]
