@@ -2,9 +2,10 @@
 
 All distances between n points cannot be avoided for the Euclidean form, but
 they need not exist at once: points are hashed into blocks, every pair of
-blocks is one small task of matrix arithmetic, and only one row of distance
-sums per point and block leaves it. Work spreads over (n / block)^2 tasks and
-memory per task is fixed.
+blocks is met once, in tiles of matrix arithmetic, and gives one row of
+distance sums for each of its points. A point is sent once to every block, so
+blocks are few: MIN_BLOCKS of them, up to as many rows as a block may hold, and
+what is sent grows with the rows alone. Memory per pair of blocks is bounded.
 """
 
 from __future__ import annotations
@@ -23,36 +24,67 @@ from cohortloom.operators.lloyd import SLOT_SCHEMA, matrix, packed, slots, squar
 from cohortloom.operators.sampling import sample_strata
 from cohortloom.operators.tidy import broadcast_rows
 
+# Rows of a tile, and of a block while there are fewer than MIN_BLOCKS.
 BLOCK_ROWS = 1024
+MIN_BLOCKS = 16
+# Doubles of a block at most: 65,536 rows of 64 components.
+BLOCK_VALUES = 1 << 22
 # Above this the distances of all pairs are refused unless asked for.
 MAX_EXACT_ROWS = 1_000_000
 
 
 def _distance_sums(n_clusters: int):
-    """Task body: for each left point, its summed distances to the right points per cluster.
+    """Task body: for each point of a pair of blocks, its summed distances to the other block's per cluster.
 
     `n_clusters` is the number of (labelling, cluster) slots; `slots` holds
     for every point one slot per labelling.
     """
 
-    def body(left, right):
-        import numpy as np
-        import pandas as pd
-
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"point": [], "slots": [], "sums": []})
-        a = np.stack(left["x"].to_numpy())
-        b = np.stack(right["x"].to_numpy())
-        middle = a.mean(axis=0)
-        a, b = a - middle, b - middle
-        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-        distances = np.sqrt(np.maximum(squares, 0.0))
-        distances[left["point"].to_numpy()[:, None] == right["point"].to_numpy()[None, :]] = 0.0
-        member = np.zeros((len(right), n_clusters))
-        for row, slots in enumerate(right["slots"]):
-            member[row, np.asarray(slots)] = 1.0
-        sums = list(distances @ member)
-        return pd.DataFrame({"point": left["point"], "slots": left["slots"], "sums": sums})
+    def side(table: pa.Table):
+        x = matrix(table.column("x").combine_chunks())
+        member = np.zeros((len(x), n_clusters))
+        slots = matrix(table.column("slots").combine_chunks()).astype(int)
+        np.put_along_axis(member, slots, 1.0, axis=1)
+        return x, member
+
+    def body(pair: pa.Table) -> pa.Table:
+        of = pair.column("block").to_numpy()
+        number = pair.column("a")[0].as_py(), pair.column("b")[0].as_py()
+        same = number[0] == number[1]
+        left = pair.filter(pa.array(of == number[0]))
+        right = left if same else pair.filter(pa.array(of == number[1]))
+        a, of_a = side(left)
+        b, of_b = (a, of_a) if same else side(right)
+        if same:
+            points = left.column("point").to_numpy()
+        middle = a.mean(axis=0) if len(a) else 0.0
+        a = a - middle
+        b = a if same else b - middle
+        long_a, long_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        sums_a, sums_b = np.zeros((len(a), n_clusters)), np.zeros((len(b), n_clusters))
+        for i in range(0, len(a), BLOCK_ROWS):
+            rows = slice(i, i + BLOCK_ROWS)
+            for j in range(i if same else 0, len(b), BLOCK_ROWS):
+                others = slice(j, j + BLOCK_ROWS)
+                far = a[rows] @ b[others].T
+                far *= -2.0
+                far += long_a[rows, None]
+                far += long_b[None, others]
+                np.sqrt(np.maximum(far, 0.0, out=far), out=far)
+                if same:
+                    far[points[rows][:, None] == points[others][None, :]] = 0.0
+                sums_a[rows] += far @ of_b[others]
+                if not same or j > i:  # a tile of the diagonal has both directions
+                    sums_b[others] += far.T @ of_a[rows]
+        parts = [(left, sums_a + sums_b)] if same else [(left, sums_a), (right, sums_b)]
+        return pa.concat_tables(
+            pa.table([t.column("point"), t.column("slots"), lists(sums)], ["point", "slots", "sums"])
+            for t, sums in parts
+        )
+
+    def lists(sums: np.ndarray) -> pa.Array:
+        ends = np.arange(len(sums) + 1, dtype=np.int32) * n_clusters
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))
 
     return body
 
@@ -63,6 +95,14 @@ def _as_array(features: str | Sequence[str]):
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
+def _blocks(n: int, first, block_rows: int | None) -> int:
+    """The number of blocks for n rows, of which `first` holds the number of components."""
+    if block_rows is not None:
+        return max(1, math.ceil(n / block_rows))
+    most = max(BLOCK_ROWS, BLOCK_VALUES // max(first[0], 1)) if first else BLOCK_ROWS
+    return max(1, min(MIN_BLOCKS, math.ceil(n / BLOCK_ROWS)), math.ceil(n / most))
+
+
 def silhouette_squared(df: DataFrame, features: str | Sequence[str], label: str) -> float:
     """Mean silhouette with squared Euclidean distance, over all rows in linear time.
 
@@ -80,15 +120,16 @@ def silhouette(
     key: str,
     features: str | Sequence[str],
     labels: Sequence[str],
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     per_point: bool = False,
     max_rows: int | None = MAX_EXACT_ROWS,
 ) -> DataFrame:
     """Mean silhouette of each labelling: rows `(labelling, n_clusters, silhouette)`.
 
     `features` is an array column or a list of numeric columns; `labels` are
-    label columns. The distances are computed once for all labellings. The key
-    identifies a row. A point alone in its cluster scores 0. `per_point`
+    label columns. The distances are computed once for all labellings. Blocks
+    have about `block_rows` rows, by default as many as keep what is sent and
+    held within bounds. The key identifies a row. A point alone in its cluster scores 0. `per_point`
     returns `(key, labelling, cluster, silhouette)` instead. The input is read
     several times: pass a stored table. Tables of more than `max_rows` rows are
     an error, as the work grows with their square: `silhouette_estimate` is for
@@ -106,7 +147,7 @@ def silhouette(
     n = sum(r["count"] for r in sizes if r["labelling"] == labels[0])
     if max_rows is not None and n > max_rows:
         raise ValueError(f"{n} rows are too many for all pairs; use silhouette_estimate, or max_rows=None")
-    blocks = max(1, math.ceil(n / block_rows))
+    blocks = _blocks(n, df.select(F.size(_as_array(features))).first(), block_rows)
 
     def slot(c: str):
         known = [(v, i) for (labelling, v), i in slot_of.items() if labelling == c]
@@ -120,15 +161,11 @@ def silhouette(
         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"),
     )
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.withColumn("other", every_block)
-    right = points.withColumnRenamed("block", "other").withColumn("block", every_block)
+    met = points.withColumn("other", every_block)
+    pairs = met.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
     dtype = dict(points.dtypes)["point"]
-    sums = (
-        left.groupBy("block", "other")
-        .cogroup(right.groupBy("block", "other"))
-        .applyInPandas(
-            _distance_sums(len(slot_of)), f"point {dtype}, slots array<int>, sums array<double>"
-        )
+    sums = pairs.drop("other").groupBy("a", "b").applyInArrow(
+        _distance_sums(len(slot_of)), f"point {dtype}, slots array<int>, sums array<double>"
     )
     described = [
         (slot_of[(r["labelling"], r["cluster"])], r["labelling"], r["cluster"], r["count"])
