@@ -38,3 +38,12 @@ def test_query_gives_rows(spark, name):
 
 def test_entry_gives_one_row_per_cluster(spark):
     assert registered.entry(spark).count() == 3
+
+
+def test_exact_distinct_count_keeps_no_sketch_per_value(spark):
+    from cohortloom.plans.queries_profiling import sketch_consistency
+
+    plan = sketch_consistency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("approx_count_distinct" in line and "Aggregate [entity_id" in line for line in plan.splitlines())
+    physical = sketch_consistency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any("keys=[entity_id" in line and "approx_count_distinct" in line for line in physical.splitlines())
