@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.tidy import melt
+from cohortloom.sources.tables import gathered_by_partition
+
+
+def near_entity(panel: DataFrame, entity: str) -> DataFrame:
+    """The same rows, those of an entity next to each other, in pieces of the advisory partition size.
+
+    For wide states of many entities: where an entity's rows lie in all tasks, a task
+    holds and sends a state for about every row. The rows themselves are smaller, and once
+    they have met, a task sends one state for all of them. An entity with a large share of
+    the rows is split over tasks by its size. Stored, the rows serve any number of passes.
+    """
+    # Dealt by the entity itself, a later aggregate would take a piece for all of its rows.
+    near = panel.withColumn("_near", F.pmod(F.xxhash64(entity), F.lit(1 << 16)).cast("int"))
+    return gathered_by_partition(near, ["_near"]).drop("_near")
 
 
 def numeric_summary(column: str) -> list[Column]:
@@ -73,7 +87,8 @@ def entity_features(
 
     Numbers and codes are summarised apart, each reading only its own columns:
     numbers in one hash aggregate, codes by way of their different values. The
-    two results have one row per entity and are joined on it.
+    two results have one row per entity and are joined on it. With many entities pass
+    the rows as `near_entity` leaves them.
     """
     numeric = [c for c in panel.columns if c.startswith("num_")] if numeric is None else numeric
     if coded is None:

@@ -28,7 +28,9 @@ def number_states(
     panel: DataFrame, entity: str, period: str, numeric: Sequence[str], batch: str | None = None
 ) -> DataFrame:
     """Per entity (and batch): n_months, min_period, max_period, and for every column a struct
-    (n, mean, m2, low, high) of its present values; m2 is the sum of squared deviations."""
+    (n, mean, m2, low, high) of its present values; m2 is the sum of squared deviations.
+
+    With many entities pass the rows as `near_entity` leaves them."""
     keys = [entity] if batch is None else [entity, batch]
     wide = [
         F.count("*").alias("n_months"),
@@ -124,7 +126,8 @@ def save_states(
     `batch` names a column. Batches that are not in `panel` stay as they are, so
     rows that come late for a batch must come with the batch's other rows. Each of
     the two tables is replaced on its own: after a failure between them, the same
-    call puts both right.
+    call puts both right. The panel is read twice: pass a stored table, with many
+    entities as `near_entity` leaves it.
     """
     numbers = number_states(panel, entity, period, numeric, batch)
     write_table(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import evidence as ev
 from cohortloom.operators import states as st
 from cohortloom.operators.features import entity_features as build_features
+from cohortloom.operators.features import near_entity
 from cohortloom.operators.quantiles import describe, histogram
 from cohortloom.plans.registry import Registry, rounded, rounded_sql
 from cohortloom.plans.star_panel import (
@@ -36,6 +37,7 @@ def _digits(feature: str) -> int:
     return 4 if feature.endswith(("price", "rare")) else 6
 
 
+_NUMERIC = [f"num_{b}" for b in BASES]
 _CODED = ["cat_flag", "cat_status", "txt_priority"]
 
 
@@ -56,8 +58,8 @@ def _coded_sql(columns) -> str:
     + " FROM features JOIN coded USING (entity_id)"
 )
 def entity_features(spark, sf_dir):
-    rows = panel(spark, sf_dir, orders=True)
-    wide = build_features(rows, numeric=[f"num_{b}" for b in BASES])
+    rows = panel(spark, sf_dir, orders=True).select("entity_id", "period_date", *_NUMERIC, *_CODED)
+    wide = build_features(materialise(near_entity(rows, "entity_id"), "panel"))
     return wide.select(
         *[rounded(c, _digits(c)).alias(c) if c in _WIDE else c for c in wide.columns]
     )
@@ -72,9 +74,6 @@ def first_last_values(spark, sf_dir):
     return build_features(panel(spark, sf_dir), numeric=[], coded=["cat_status"])
 
 
-_NUMERIC = [f"num_{b}" for b in BASES]
-
-
 @query(
     f"WITH {PANEL_SQL} SELECT entity_id, CAST(year AS VARCHAR) AS batch, count(*) AS n_months, min(period_date) AS min_period,"
     " max(period_date) AS max_period, "
@@ -89,6 +88,7 @@ _NUMERIC = [f"num_{b}" for b in BASES]
 def feature_states(spark, sf_dir):
     """The mergeable state of every entity and year."""
     rows = panel(spark, sf_dir).withColumn("batch", F.col("year").cast("string"))
+    rows = near_entity(rows.select("entity_id", "batch", "period_date", *_NUMERIC), "entity_id")
     found = st.number_states(rows, "entity_id", "period_date", _NUMERIC, "batch")
     wide = []
     for c in _NUMERIC:
@@ -118,7 +118,9 @@ def incremental_features(spark, sf_dir):
     and lacks another; the second replaces the one and adds the other. The states
     must then give the features of the whole panel.
     """
-    rows = materialise(panel(spark, sf_dir, orders=True), "panel")
+    rows = panel(spark, sf_dir, orders=True)
+    rows = rows.select("entity_id", "period_date", "year", "line_no", *_NUMERIC, *_CODED)
+    rows = materialise(near_entity(rows, "entity_id"), "panel")
     rows = rows.withColumn("batch", F.col("year").cast("string"))
     root = scratch_path(spark, "states")
     late, wrong = F.col("year") == 1994, F.col("year") == 1996

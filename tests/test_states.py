@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import states as st
-from cohortloom.operators.features import entity_features
+from cohortloom.operators.features import entity_features, near_entity
 from cohortloom.session import scratch_path
 
 HOW = {"numeric": ["num_x", "num_y"], "coded": ["cat_s"]}
@@ -76,3 +76,13 @@ def test_empty_panel_and_missing_numbers(spark):
     states = st.number_states(lost, "entity_id", "period_date", ["num_x"], "part")
     found = st.number_features(st.merge_numbers(states, "entity_id", ["num_x"]), "entity_id", ["num_x"])
     assert {tuple(r)[4:] for r in found.collect()} == {(None, None, None, None)}
+
+
+def test_rows_of_many_entities_meet_before_their_states(spark):
+    """A task sends one state for an entity's rows, and a large entity is split over tasks."""
+    rows = spark.range(40_000).selectExpr("concat('e', id % 4000) AS e", "CAST(id AS DOUBLE) AS x")
+    near = near_entity(rows.repartition(8), "e").withColumn("task", F.spark_partition_id())
+    assert near.groupBy("e").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] == 1
+    plan = near_entity(rows, "e").groupBy("e").agg(F.avg("x"))._jdf.queryExecution().toString()
+    physical = plan[plan.index("Physical Plan") :]
+    assert "REBALANCE_PARTITIONS_BY_COL" in physical and "ENSURE_REQUIREMENTS" in physical
