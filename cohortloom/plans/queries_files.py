@@ -32,15 +32,17 @@ query = registry.query
 
 def _members(spark, sf_dir) -> str:
     """The all-text rows as headerless delimited files, one folder per year and quarter."""
-    rows = text_rows(spark, sf_dir)
     target = scratch_path(spark, "members")
-    member = F.concat("year", "quarter")
-    data = rows.withColumn("member", member).drop("year", "quarter")
-    gathered = gathered_by_partition(data, ["member"])
-    gathered.write.partitionBy("member").option("sep", "|").csv(target)
+    _write_members(text_rows(spark, sf_dir, ["year", "quarter"]), F.concat("year", "quarter"), target)
     return target
 
 
+def _write_members(rows, member, target: str) -> None:
+    """Rows as delimited files below a folder for each `member`."""
+    data = rows.withColumn("member", member).drop("year", "quarter")
+    data.write.mode("append").partitionBy("member").option("sep", "|").csv(target)
+
+
 _LINE_BYTES = 32
 
 
@@ -215,13 +217,11 @@ _COUNTS_SQL = f"WITH {BASE_SQL} SELECT CAST(year AS INTEGER) AS year, quarter, c
 @query(_COUNTS_SQL)
 def late_member(spark, sf_dir):
     """Files that come later for quarters that are stored already."""
-    rows = text_rows(spark, sf_dir)
+    rows = text_rows(spark, sf_dir, ["year", "quarter"])
     source, target = scratch_path(spark, "members"), scratch_path(spark, "bronze")
     late = F.pmod(F.xxhash64("entity_id"), F.lit(3)) == 0
-    data = rows.withColumn("member", F.concat("year", "quarter")).drop("year", "quarter")
     for part in (~late, late):
-        gathered = gathered_by_partition(data.where(part), ["member"])
-        gathered.write.mode("append").partitionBy("member").option("sep", "|").csv(source)
+        _write_members(rows.where(part), F.concat("year", "quarter"), source)
         dl.ingest_delimited(spark, source, target, process_all=True)
     return partition_counts(scan_table(spark, target))
 
@@ -229,11 +229,11 @@ def late_member(spark, sf_dir):
 @query(_COUNTS_SQL)
 def arrivals_split(spark, sf_dir):
     """A folder loaded as a stream of batches that split quarters: stored rows by quarter."""
-    rows = text_rows(spark, sf_dir)
     source, target = scratch_path(spark, "members"), scratch_path(spark, "bronze")
-    data = rows.withColumn("member", F.concat("year", "quarter")).drop("year", "quarter")
-    spread = data.repartition(4, "entity_id")
-    spread.write.partitionBy("member").option("sep", "|").csv(source)
+    # Four folders a quarter, each of as many files as its size asks for.
+    piece = F.pmod(F.xxhash64("entity_id"), F.lit(4)).cast("string")
+    rows = text_rows(spark, sf_dir, ["year", "quarter"])
+    _write_members(rows, F.concat("year", "quarter", F.lit("-"), piece), source)
     load_arrivals(
         spark, source, target, scratch_path(spark, "arrivals"), files_per_batch=40, delimiter="|", width=13
     ).awaitTermination()
@@ -296,9 +296,9 @@ def recompressed_table(spark, sf_dir):
 @query(_STORED_SQL)
 def replaced_partitions(spark, sf_dir):
     """A table of which every second quarter is written once more: nothing doubles."""
-    rows = text_rows(spark, sf_dir)
+    rows = text_rows(spark, sf_dir, ["year", "quarter"])
     target = scratch_path(spark, "result")
-    write_table(gathered_by_partition(rows, ["year", "quarter"]), target, ("year", "quarter"))
+    write_table(rows, target, ("year", "quarter"))
     again = rows.where(F.col("quarter").isin("Q1", "Q3"))
     write_table(again, target, ("year", "quarter"), mode="replace_partitions")
     return _stored_summary(scan_table(spark, target))

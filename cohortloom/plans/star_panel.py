@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.periods import is_period, valid_period
 from cohortloom.operators.features import entity_features
 from cohortloom.roles import Roles
+from cohortloom.sources.tables import gathered_by_partition
 
 ROLES = Roles(
     entity="entity_id",
@@ -151,10 +152,16 @@ def base_rows(spark: SparkSession, sf_dir: str, orders: bool = False) -> DataFra
     return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The all-text table that a panel is built from."""
+def text_rows(spark: SparkSession, sf_dir: str, gathered: Sequence[str] = ()) -> DataFrame:
+    """The all-text table that a panel is built from.
+
+    Rows are brought together by the columns `gathered` while they are typed: texts
+    are the wider form.
+    """
     rows = base_rows(spark, sf_dir, orders=True)
     wanted = [*ROLES.core_columns(), "dq_code", "upb", "rate", "year", "quarter"]
+    if gathered:
+        rows = gathered_by_partition(rows.select(*wanted), gathered)
     return rows.select(*[F.col(c).cast("string").alias(c) for c in wanted])
 
 

@@ -251,3 +251,31 @@ def test_heads_give_the_layouts_of_whole_files_and_read_no_more(spark, tmp_path,
     monkeypatch.setattr(heads, "open_file", lambda path: Watched(real(path)))
     assert len(heads.head_lines(str(tmp_path / "a b.csv"), 64)) == 10 and sum(read) == 65
     assert heads.read_heads(spark, []).count() == 0
+
+
+def test_split_arrivals_are_written_by_more_tasks_as_rows_grow(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cohortloom.plans import queries_files
+
+    sources = []
+    stop = SimpleNamespace(awaitTermination=lambda: None)
+    monkeypatch.setattr(queries_files, "load_arrivals", lambda s, source, *a, **o: sources.append(source) or stop)
+    monkeypatch.setattr(queries_files, "scan_table", lambda s, path: spark.createDataFrame([], "year int, quarter string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries_files.arrivals_split(spark, "/root/testdata/sf0.01")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = [r["path"] for r in inv.list_files(spark, sources[0], "*.csv").collect()]
+    assert len({n.rsplit("/", 1)[1].split("-")[1] for n in names}) > 4
+    assert len({n.split("member=")[1][:6] for n in names}) * 4 == len({n.split("/")[-2] for n in names})
+
+
+def test_rows_are_gathered_before_they_become_texts(spark):
+    from cohortloom.plans.star_panel import text_rows
+
+    rows = text_rows(spark, "/root/testdata/sf0.001", ["year", "quarter"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("RebalancePartitions")]
+    assert "cast(quantity" in above and {t for _, t in rows.dtypes} == {"string"}
