@@ -27,6 +27,9 @@ MIN_TERMINATION_RATIO = 0.10
 
 FIELD_ROLES = ("period", "dq", "zbc", "upb", "rate")
 
+# Whole numbers up to this size are exact as doubles.
+_EXACT_DOUBLE = 2**53
+
 
 def _share(condition: Column, weight: Column, of: Column) -> Column:
     """Weighted share of `of` that also meets the condition; 0 when nothing does."""
@@ -116,12 +119,14 @@ def field_profile(
 ) -> DataFrame:
     """Per column: type, range, distinct count, and shares of month-like and termination-code texts.
 
-    Dates are profiled as YYYYMM numbers; texts have no range. One pass; with
-    `exact` a second one counts the different values.
+    Dates are profiled as YYYYMM numbers; texts have no range. One pass; with `exact` it counts
+    the different values, from which everything else follows, and an empty table has its rows, too.
     """
     kinds = {f.name: _kind(f.dataType) for f in df.schema.fields}
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     columns = list(columns or df.columns)
+    if exact:
+        return _exact_field_profile(df, columns, kinds, types)
 
     def seen(c: str) -> Column:
         return yyyymm(F.col(f"`{c}`")) if kinds[c] == "date" else F.col(f"`{c}`")
@@ -149,18 +154,70 @@ def field_profile(
         "max_value": lambda c: bound(c, F.max),
         "yyyymm_ratio": month_like,
         "zbc_ratio": termination_like,
+        "n_unique": lambda c: F.approx_count_distinct(seen(c)),
     }
-    if not exact:
-        stats["n_unique"] = lambda c: F.approx_count_distinct(seen(c))
-        return tidy_aggregate(df, columns, stats, key="column")
-    ranges = tidy_aggregate(df, columns, stats, key="column")
-    values = df.select(*[seen(c).alias(c) for c in columns])
-    counts = (
-        value_frequencies(values, columns, key="column")
-        .groupBy("column")
-        .agg(F.count("value").alias("n_unique"))
+    return tidy_aggregate(df, columns, stats, key="column")
+
+
+def _number_and_text(value: Column, kind: str, dtype: str) -> tuple[Column, Column]:
+    """A value as a number or, where a double would not hold it, a text; the other one is NULL."""
+    if kind == "date":
+        value = yyyymm(value)
+    number, text = value.cast("double"), value.cast("string")
+    if kind == "text" or dtype.startswith("decimal"):
+        return F.lit(None).cast("double"), text
+    if dtype == "bigint":
+        held = value.between(-_EXACT_DOUBLE, _EXACT_DOUBLE)
+        return F.when(held, number), F.when(~held, text)
+    return number, F.lit(None).cast("string")
+
+
+def _exact_field_profile(
+    df: DataFrame, columns: Sequence[str], kinds: dict[str, str], types: dict[str, str]
+) -> DataFrame:
+    """`field_profile` from the different values of every column and how often each occurs.
+
+    Numbers are counted as numbers, in short keys, and a pattern is tested once per
+    different text.
+    """
+    cells = []
+    for at, c in enumerate(columns):
+        cells += [F.lit(at), *_number_and_text(F.col(f"`{c}`"), kinds[c], types[c])]
+    values = (
+        df.select(F.stack(F.lit(len(columns)), *cells).alias("at", "number", "text"))
+        .groupBy("at", "number", "text")
+        .agg(F.count("*").alias("n"))
+    )
+    fields = [
+        F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.lit(kinds[c]).alias("kind"))
+        for c in columns
+    ]
+    texts = [at for at, c in enumerate(columns) if kinds[c] == "text"]
+    is_text, n = F.col("at").isin(texts), F.col("n")
+    as_number = F.when(~is_text, F.coalesce("number", F.col("text").try_cast("double")))
+    stats = values.groupBy("at").agg(
+        F.min(as_number).alias("min_value"),
+        F.max(as_number).alias("max_value"),
+        *[
+            _share(is_text & F.col("text").rlike(pattern), n, F.lit(True)).alias(name)
+            for name, pattern in (
+                ("yyyymm_ratio", patterns.YEAR_MONTH),
+                ("zbc_ratio", patterns.TERMINATION_STRICT),
+            )
+        ],
+        F.count(F.when(F.col("number").isNotNull() | F.col("text").isNotNull(), 1)).alias("n_unique"),
+    )
+    known = df.sparkSession.range(1).select(F.posexplode(F.array(*fields)).alias("at", "field"))
+    return known.join(stats, "at", "left").select(
+        "field.*",
+        "min_value",
+        "max_value",
+        F.when(F.col("field.kind") == "date", 1.0)
+        .otherwise(F.coalesce("yyyymm_ratio", F.lit(0.0)))
+        .alias("yyyymm_ratio"),
+        F.coalesce("zbc_ratio", F.lit(0.0)).alias("zbc_ratio"),
+        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
     )
-    return ranges.join(counts, "column")
 
 
 def score_fields(profile: DataFrame) -> DataFrame:

@@ -47,6 +47,38 @@ def test_field_roles_and_their_ties(spark):
     assert {r["column"] for r in empty} == {None}
 
 
+def test_exact_field_profile_reads_the_table_once(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id * 0.5 AS half", "'09' AS code").write.parquet(str(tmp_path / "t"))
+    profile = p.field_profile(spark.read.parquet(str(tmp_path / "t")), exact=True)
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+
+
+def test_exact_field_profile_of_odd_values(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES (2L * 4611686018427387903, 0.0D, 1.10BD, DATE'2020-02-03', '202002', true),"
+        " (2L * 4611686018427387903 + 1, -0.0D, -2.25BD, DATE'2020-02-29', 'x', true),"
+        " (-7L, double('nan'), NULL, NULL, NULL, NULL), (NULL, NULL, 1.10BD, NULL, '96', false)"
+        " AS t(whole, number, exact, day, word, flag)"
+    )
+    found = {r["column"]: r for r in p.field_profile(rows, exact=True).collect()}
+    plain = {r["column"]: r for r in p.field_profile(rows).collect()}
+    for name, row in plain.items():
+        # Only the estimated count may differ; NaN is told by its text.
+        assert repr(row[:-1]) == repr(found[name][:-1])
+    assert {c: r["n_unique"] for c, r in found.items()} == {
+        "whole": 3, "number": 2, "exact": 2, "day": 1, "word": 3, "flag": 2
+    }
+    assert found["word"]["yyyymm_ratio"] == 0.25 and found["word"]["zbc_ratio"] == 0.25
+
+
+def test_exact_field_profile_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "w string, n long, d date")
+    found = p.field_profile(rows, exact=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, p.field_profile(rows).collect()))
+    assert {r["n_unique"] for r in found.collect()} == {0}
+
+
 def test_code_refinement(spark):
     rows = [("0", "01", "q"), ("12", "96", "r"), ("XX", "5", None), (" R ", "7", "s")]
     table = spark.createDataFrame(rows, "late string, closed string, other string")
